@@ -215,7 +215,7 @@ SELECT game_id, my_username, time_class FROM clean WHERE my_rating IS NOT NULL A
     "year_filter_all": _pg_rows("game_year"),
     "year_filter_one": _pg_rows("game_year") + " WHERE game_year = 2024",
     "my_games": over("pg") + """
-SELECT * EXCLUDE (slug, eco_slug_raw, uploaded_at, loaded_by_user), uploaded_at AS loaded_at, md5(my_username) AS user_key
+SELECT * EXCLUDE (eco_slug_raw, uploaded_at, loaded_by_user), uploaded_at AS loaded_at, md5(my_username) AS user_key
 FROM pg WHERE lower(my_username) = 'player7'""",
     "default_literals": over("dim") + """
 SELECT username, ifnull(max(game_date), DATE '1970-01-01') AS last_game_date, ifnull(min(game_date), DATE '1970-01-01') AS first_game_date,

@@ -83,8 +83,10 @@ def upsert_by_key(spark, folder):
     rows = warehouse.deduped(src.raw(spark, folder)).drop("pgn")
     first = F.unix_seconds("uploaded_at") < src.BATCH_SPLIT
     merge.merge_upsert(spark, path, rows.filter(first), ["uuid"], ["uploaded_at"])
-    again = rows.withColumn("uploaded_at", instant(F.lit(RESTAMP))).withColumn("time_control", F.lit("changed"))
-    merge.merge_upsert(spark, path, again.filter((F.col("end_time") % 3 == 0) | ~first), ["uuid"], ["uploaded_at"])
+    again = rows.filter(~first | F.col("rated")).withColumns(
+        {"uploaded_at": instant(F.lit(RESTAMP)), "time_control": F.lit("changed")}
+    )
+    merge.merge_upsert(spark, path, again, ["uuid"], ["uploaded_at"])
     return src.edge(spark.read.parquet(path))
 
 
@@ -186,7 +188,7 @@ SELECT loaded_by_user, 2024::INTEGER AS year, month(make_timestamp(end_time * 10
 FROM raw WHERE end_time >= epoch(TIMESTAMP '2024-06-01') AND end_time < epoch(TIMESTAMP '2025-01-01') GROUP BY ALL""",
     "append_raw_games": over("raw") + f"""
 SELECT {LANDED.replace("pgn, ", "")},
-  make_timestamp(if(epoch(uploaded_at) < 1735690100, 1736000000, 1736500000) * 1000000) AS uploaded_at,
+  make_timestamp(if(epoch(uploaded_at) < 1735690100, 1736000000, 1736500000)::BIGINT * 1000000) AS uploaded_at,
   upper(loaded_by_user) AS loaded_by_user, if(epoch(uploaded_at) < 1735690100, NULL, 'cup-' || tcn) AS event_name
 FROM raw WHERE uuid IS NOT NULL""",
     "write_table": over("raw") + """
@@ -194,7 +196,7 @@ SELECT uuid, time_class, end_time FROM raw UNION ALL SELECT uuid, time_class, en
     "upsert_by_key": over("stg") + f"""
 SELECT * EXCLUDE (pgn, uploaded_at, time_control, loaded_by_user),
   if(epoch(uploaded_at) < 1735690100, time_control, 'changed') AS time_control, loaded_by_user,
-  if(epoch(uploaded_at) < 1735690100 AND end_time % 3 <> 0, uploaded_at, make_timestamp(1736500000000000)) AS uploaded_at
+  if(epoch(uploaded_at) < 1735690100 AND NOT rated, uploaded_at, make_timestamp(1736500000000000)) AS uploaded_at
 FROM latest""",
     "export_games": over("an") + """
 SELECT game_id, my_username, date, to_json(moves)::VARCHAR AS moves, my_rating, outcome, my_time_left, link, f AS format

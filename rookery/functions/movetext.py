@@ -1,6 +1,6 @@
 """Header tags, moves and clocks of a game record, as native expressions.
 
-Each extractor is one regular-expression pass over the record; nothing runs in Python.
+Each extractor is one pass over the record inside the JVM; nothing runs in Python.
 """
 
 from __future__ import annotations
@@ -17,9 +17,6 @@ BLACK_CLOCK_PATTERN = r"(\d+)\.\.\. \S+ \{\[%clk ([0-9:]+(?:\.[0-9]+)?)\]\}"
 # the line start and possessive, so that the one long line of moves is walked once.
 TAG_LINE_PATTERN = r"(?md)^([^\[\n]*+)\[[^\n]*+(?<=\])\n"
 
-# A move is a whole word without '.', not opening a comment, that holds a letter or '='.
-MOVE_PATTERN = r"(?<!\S)(?!\{)(?=[^\s.]*[\p{L}=])[^\s.]++(?!\S)"
-
 _HMS_PATTERN = r"^([01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d$"
 _WHOLE_NUMBER = r"^\d+$"
 
@@ -61,8 +58,17 @@ def tag_map(names: Column, values: Column) -> Column:
 # -- moves ---------------------------------------------------------------------------------
 
 
+def _is_move(word: Column) -> Column:
+    """A word without '.', not opening a comment, that holds a letter or '='."""
+    return ~word.contains(".") & ~word.startswith("{") & (word.contains("=") | word.rlike(r"\p{L}"))
+
+
 def moves(pgn: Column) -> Column:
-    return _all(F.regexp_replace(pgn, TAG_LINE_PATTERN, "$1"), MOVE_PATTERN, 0)
+    """Words of the text below the tag lines that are moves.
+
+    Splitting and testing words is several times faster than one pattern with look-around.
+    """
+    return F.filter(F.split(F.regexp_replace(pgn, TAG_LINE_PATTERN, "$1"), r"\s+"), _is_move)
 
 
 def every_second(items: Column, start: int) -> Column:

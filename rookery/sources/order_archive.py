@@ -1,14 +1,79 @@
 """A game archive derived from an ``orders`` table, one game per order plus re-uploads.
 
 The recipe is the one FIXTURES.md declares; it stands in for the archives that real players produce.
+It is written as SQL expressions, one call for each step, because it is long.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+# Fixed values of the recipe.
+_KEYED = [
+    "k",
+    "CASE WHEN k % 211 <> 0 THEN concat('g', k) END AS uuid",
+    "concat('https://games.test/', k) AS url",
+    "concat('t', k) AS tcn",
+    "element_at(array('60', '180+2', '600', '300+5', '1/259200', '500'), int(k % 6) + 1) AS time_control",
+    "element_at(array('bullet', 'blitz', 'rapid', 'blitz', 'daily', 'rapid'), int(k % 6) + 1) AS time_class",
+    "1704067200L + (k * 7919) % 31536000 AS end_time",
+    "k % 5 <> 0 AS rated",
+    "CASE WHEN k % 20 = 0 THEN 'chess960' ELSE 'chess' END AS rules",
+    "'f' AS fen",
+    "'start' AS initial_setup",
+    "CASE WHEN k % 101 <> 0 THEN concat('Player', c % 12) END AS white_username",
+    "concat('Player', (c % 12 + 1 + k % 11) % 12) AS black_username",
+    "800L + (k * 37) % 1700 AS white_rating",
+    "800L + (k * 53) % 1700 AS black_rating",
+    "element_at(array('resigned', 'checkmated', 'timeout', 'abandoned'), int(k % 4) + 1) AS lost",
+    "element_at(array('agreed', 'stalemate', 'repetition', 'insufficient', 'timevsinsufficient', '50move'), int(k % 6) + 1) AS drawn",
+    "CASE WHEN k % 3 <> 0 THEN 50 + double(k % 400) / 10 END AS white_accuracy",
+    "CASE WHEN k % 3 <> 0 THEN 50 + double(k % 450) / 10 END AS black_accuracy",
+    "1735689600L + k % 1000 AS uploaded_epoch",
+    """element_at(array('Sicilian-Defense-Najdorf-Variation', 'Italian-Game-Two-Knights', 'Queens-Gambit-Declined',
+       'London-System', 'Caro-Kann-Defense', 'Kings-Indian-Attack', 'English-Opening', 'Ruy-Lopez', NULL), int(k % 9) + 1) AS slug""",
+    "5L + k % 40 AS n",
+    "k div 40 AS j",
+]
+
+
+def _clock_time(epoch: str) -> str:
+    second = f"pmod({epoch}, 86400)"
+    return f"concat_ws(':', lpad({second} div 3600, 2, '0'), lpad({second} div 60 % 60, 2, '0'), lpad({second} % 60, 2, '0'))"
+
+
+def _clock(offset: int) -> str:
+    return (
+        "' {[%clk 0:0', greatest(0, 4 - int(i div 9)), ':', "
+        f"lpad((i * 7 + j + {offset}) % 60, 2, '0'), CASE WHEN i % 2 = 0 THEN '.5' ELSE '' END, ']}}'"
+    )
+
+
+_WHITE_MOVE = "CASE WHEN i = 6 AND k % 3 = 0 THEN 'O-O' WHEN i = 7 AND k % 5 = 1 THEN 'O-O-O' WHEN i = 40 THEN 'e8=Q' ELSE 'Nf3' END"
+_BLACK_MOVE = "CASE WHEN i = 6 AND k % 4 = 0 THEN 'O-O' WHEN i = 8 AND k % 5 = 2 THEN 'O-O-O' WHEN i = 42 THEN 'd1=N' ELSE 'Nc6' END"
+
+_TURN = f"""concat(i, '. ', {_WHITE_MOVE}, {_clock(0)},
+  CASE WHEN i = n AND k % 2 = 1 THEN '' ELSE concat(' ', i, '... ', {_BLACK_MOVE}, {_clock(13)}) END)"""
 
-PLAYERS = 12
+_PLAYED = [
+    "*",
+    "CASE WHEN k % 7 < 3 THEN 'win' WHEN k % 7 < 6 THEN lost ELSE drawn END AS white_result",
+    "CASE WHEN k % 7 < 3 THEN lost WHEN k % 7 < 6 THEN 'win' ELSE drawn END AS black_result",
+    f"""concat('[Date "', date_format(date_from_unix_date(int(end_time div 86400)), 'yyyy.MM.dd'), '"]\\n',
+      '[StartTime "', {_clock_time("(end_time - (30 + k % 1500))")}, '"]\\n', '[EndTime "', {_clock_time("end_time")}, '"]\\n',
+      coalesce(concat('[ECOUrl "https://www.chess.com/openings/', slug, '"]\\n'), ''), '[Link "', url, '"]\\n\\n',
+      array_join(transform(sequence(1L, n), i -> {_TURN}), ' '), ' *') AS pgn""",
+]
+
+_LANDED = [
+    "uuid", "url", "tcn", "pgn", "time_control", "end_time", "rated", "time_class", "rules", "fen", "initial_setup",
+    "white_username", "white_rating", "white_result", "md5(white_username) AS white_uuid",
+    "black_username", "black_rating", "black_result", "md5(black_username) AS black_uuid",
+    "CASE WHEN again THEN 99.5D ELSE white_accuracy END AS white_accuracy",
+    "black_accuracy",
+    "timestamp_seconds(uploaded_epoch + CASE WHEN again THEN 86400 ELSE 0 END) AS uploaded_at",
+    "CASE WHEN again THEN black_username ELSE coalesce(white_username, black_username) END AS loaded_by_user",
+]
 
 
 def read_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,124 +85,17 @@ def read_orders(spark: SparkSession, folder: str) -> DataFrame:
     return orders
 
 
-def _pick(number: Column, *values: str | None) -> Column:
-    """values[number mod len(values)]"""
-    chosen = None
-    for i, value in enumerate(values):
-        hit = number % len(values) == i
-        chosen = F.when(hit, F.lit(value)) if chosen is None else chosen.when(hit, F.lit(value))
-    return chosen
-
-
-def _text(value: Column) -> Column:
-    return value.cast("string")
-
-
-def _clock_time(epoch: Column) -> Column:
-    of_day = F.pmod(epoch, F.lit(86400))
-    parts = (F.floor(of_day / 3600), F.floor(F.pmod(of_day, F.lit(3600)) / 60), F.pmod(of_day, F.lit(60)))
-    return F.concat_ws(":", *[F.lpad(_text(p), 2, "0") for p in parts])
-
-
-def _move_text() -> Column:
-    k, n, j = F.col("k"), F.col("n"), F.col("j")
-
-    def clock(i: Column, offset: int) -> Column:
-        minute = F.greatest(F.lit(0), F.lit(4) - F.floor(i / 9).cast("int"))
-        second = F.lpad(_text((i * 7 + j + offset) % 60), 2, "0")
-        half = F.when(i % 2 == 0, ".5").otherwise("")
-        return F.concat(F.lit(" {[%clk 0:0"), _text(minute), F.lit(":"), second, half, F.lit("]}"))
-
-    def turn(i: Column) -> Column:
-        white = (
-            F.when((i == 6) & (k % 3 == 0), "O-O")
-            .when((i == 7) & (k % 5 == 1), "O-O-O")
-            .when(i == 40, "e8=Q")
-            .otherwise("Nf3")
-        )
-        black = (
-            F.when((i == 6) & (k % 4 == 0), "O-O")
-            .when((i == 8) & (k % 5 == 2), "O-O-O")
-            .when(i == 42, "d1=N")
-            .otherwise("Nc6")
-        )
-        reply = F.concat(F.lit(" "), _text(i), F.lit("... "), black, clock(i, 13))
-        no_reply = (i == n) & (k % 2 == 1)
-        return F.concat(_text(i), F.lit(". "), white, clock(i, 0), F.when(no_reply, "").otherwise(reply))
-
-    return F.array_join(F.transform(F.sequence(F.lit(1).cast("bigint"), n), turn), " ")
-
-
 def raw_games_from_orders(orders: DataFrame) -> DataFrame:
-    """``raw_games`` rows for an orders frame with ``o_orderkey`` and ``o_custkey``."""
-    k, c = F.col("k"), F.col("c")
-    games = orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c")).select(
-        "k",
-        F.when(k % 211 != 0, F.concat(F.lit("g"), _text(k))).alias("uuid"),
-        F.concat(F.lit("https://games.test/"), _text(k)).alias("url"),
-        F.concat(F.lit("t"), _text(k)).alias("tcn"),
-        _pick(k, "60", "180+2", "600", "300+5", "1/259200", "500").alias("time_control"),
-        _pick(k, "bullet", "blitz", "rapid", "blitz", "daily", "rapid").alias("time_class"),
-        (F.lit(1704067200) + (k * 7919) % 31536000).cast("bigint").alias("end_time"),
-        (k % 5 != 0).alias("rated"),
-        F.when(k % 20 == 0, "chess960").otherwise("chess").alias("rules"),
-        F.lit("f").alias("fen"),
-        F.lit("start").alias("initial_setup"),
-        F.when(k % 101 != 0, F.concat(F.lit("Player"), _text(c % PLAYERS))).alias("white_username"),
-        F.concat(F.lit("Player"), _text((c % PLAYERS + 1 + k % 11) % PLAYERS)).alias("black_username"),
-        (F.lit(800) + (k * 37) % 1700).cast("bigint").alias("white_rating"),
-        (F.lit(800) + (k * 53) % 1700).cast("bigint").alias("black_rating"),
-        _pick(k, "resigned", "checkmated", "timeout", "abandoned").alias("lost"),
-        _pick(k, "agreed", "stalemate", "repetition", "insufficient", "timevsinsufficient", "50move").alias("drawn"),
-        F.when(k % 3 != 0, F.lit(50) + (k % 400).cast("double") / 10).alias("white_accuracy"),
-        F.when(k % 3 != 0, F.lit(50) + (k % 450).cast("double") / 10).alias("black_accuracy"),
-        (F.lit(1735689600) + k % 1000).cast("bigint").alias("uploaded_epoch"),
-        _pick(
-            k,
-            "Sicilian-Defense-Najdorf-Variation",
-            "Italian-Game-Two-Knights",
-            "Queens-Gambit-Declined",
-            "London-System",
-            "Caro-Kann-Defense",
-            "Kings-Indian-Attack",
-            "English-Opening",
-            "Ruy-Lopez",
-            None,
-        ).alias("slug"),
-        (F.lit(5) + k % 40).cast("bigint").alias("n"),
-        F.floor(k / 40).cast("bigint").alias("j"),
-    )
-    end = F.col("end_time")
-    link = F.concat(F.lit('[ECOUrl "https://www.chess.com/openings/'), F.col("slug"), F.lit('"]\n'))
-    pgn = F.concat(
-        F.lit('[Date "'), F.date_format(F.date_from_unix_date(F.floor(end / 86400).cast("int")), "yyyy.MM.dd"), F.lit('"]\n'),
-        F.lit('[StartTime "'), _clock_time(end - (F.lit(30) + k % 1500)), F.lit('"]\n'),
-        F.lit('[EndTime "'), _clock_time(end), F.lit('"]\n'),
-        F.coalesce(link, F.lit("")),
-        F.lit('[Link "'), F.col("url"), F.lit('"]\n\n'),
-        _move_text(),
-        F.lit(" *"),
-    )
-    white_result = F.when(k % 7 < 3, "win").when(k % 7 < 6, F.col("lost")).otherwise(F.col("drawn"))
-    black_result = F.when(k % 7 < 3, F.col("lost")).when(k % 7 < 6, "win").otherwise(F.col("drawn"))
-    uploads = F.when(k % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    again = F.col("upload") == 1
+    """``raw_games`` rows for an orders frame with ``o_orderkey`` and ``o_custkey``.
+
+    Uploads are doubled by exploding a flag, after the record text is made: one scan, one text.
+    """
     return (
-        games.withColumn("pgn", pgn)
-        .withColumn("white_result", white_result)
-        .withColumn("black_result", black_result)
-        .withColumn("upload", F.explode(uploads))
-        .select(
-            "uuid", "url", "tcn", "pgn", "time_control", "end_time", "rated", "time_class", "rules", "fen", "initial_setup",
-            "white_username", "white_rating", "white_result", F.md5("white_username").alias("white_uuid"),
-            "black_username", "black_rating", "black_result", F.md5("black_username").alias("black_uuid"),
-            F.when(again, 99.5).otherwise(F.col("white_accuracy")).alias("white_accuracy"),
-            "black_accuracy",
-            F.timestamp_seconds(F.col("uploaded_epoch") + F.when(again, 86400).otherwise(0)).alias("uploaded_at"),
-            F.when(again, F.col("black_username"))
-            .otherwise(F.coalesce("white_username", "black_username"))
-            .alias("loaded_by_user"),
-        )
+        orders.selectExpr("o_orderkey AS k", "o_custkey AS c")
+        .selectExpr(*_KEYED)
+        .selectExpr(*_PLAYED)
+        .selectExpr("*", "explode(CASE WHEN k % 50 = 0 THEN array(false, true) ELSE array(false) END) AS again")
+        .selectExpr(*_LANDED)
     )
 
 

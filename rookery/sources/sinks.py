@@ -61,7 +61,7 @@ def flat_columns(df: DataFrame) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    flat_columns(df).write.mode("overwrite").option("header", "true").csv(path)
+    flat_columns(df).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
 def export_json(df: DataFrame, path: str) -> None:
