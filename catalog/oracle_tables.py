@@ -124,7 +124,8 @@ running AS (
 ustats AS (
   SELECT md5(concat_ws('-', username, stat_date::VARCHAR, time_class)) AS stat_key, md5(username) AS user_key,
     username, stat_date, time_class, games_played, wins, losses, draws,
-    round(avg_accuracy, 2) AS avg_accuracy, round(avg_rating, 1) AS avg_rating, max_rating, min_rating, closing_rating,
+    round(avg_accuracy::DECIMAL(20, 10), 2)::DOUBLE AS avg_accuracy,
+    round(avg_rating::DECIMAL(20, 10), 1)::DOUBLE AS avg_rating, max_rating, min_rating, closing_rating,
     total_games, total_wins, closing_rating AS current_rating, highest_rating_ever
   FROM running)"""
 

@@ -28,7 +28,8 @@ def seconds_to_units(seconds: Column) -> Column:
     secs = F.pmod(of_day, F.lit(MINUTE))
 
     def total(unit: int) -> Column:
-        return F.round(rest / F.lit(unit), 2)
+        """Hundredths of a unit, half up, in whole numbers: no binary fraction decides a tie."""
+        return (F.floor((rest * 200 + unit) / F.lit(2 * unit)) / 100).cast("double")
 
     text = F.concat_ws(
         " ",
@@ -48,5 +49,5 @@ def seconds_to_units(seconds: Column) -> Column:
         total(HOUR).alias("total_time_in_hours"),
         total(MINUTE).alias("total_time_in_minutes"),
         rest.cast("double").alias("total_time_in_seconds"),
-        F.round(rest / F.lit(YEAR) * 100, 2).alias("percentage_of_year"),
+        (F.floor((rest * 20_000 + YEAR) / F.lit(2 * YEAR)) / 100).alias("percentage_of_year"),
     )
