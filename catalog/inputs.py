@@ -1,7 +1,12 @@
-"""Frames that the queries start from, and the last step of every query."""
+"""Frames that the queries start from, and the last step of every query.
+
+The functions remember the plan they built for a session and folder; no rows are kept.
+"""
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,42 +20,52 @@ TODAY = "2025-02-01"
 BATCH_SPLIT = 1735690100
 
 
+@cache
 def raw(spark: SparkSession, folder: str) -> DataFrame:
     return order_archive.raw_games(spark, folder)
 
 
+@cache
 def staged(spark: SparkSession, folder: str) -> DataFrame:
     return warehouse.staged_games(raw(spark, folder))
 
 
+@cache
 def player_games(spark: SparkSession, folder: str) -> DataFrame:
     return warehouse.int_player_games(raw(spark, folder))
 
 
+@cache
 def facts(spark: SparkSession, folder: str) -> DataFrame:
     return warehouse.fct_games(player_games(spark, folder))
 
 
+@cache
 def users(spark: SparkSession, folder: str) -> DataFrame:
     return warehouse.dim_users(staged(spark, folder), player_games(spark, folder))
 
 
+@cache
 def user_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return warehouse.fct_user_statistics(player_games(spark, folder))
 
 
+@cache
 def parsed(spark: SparkSession, folder: str) -> DataFrame:
     return parsed_games.parse_games(raw(spark, folder))
 
 
+@cache
 def clean(spark: SparkSession, folder: str) -> DataFrame:
     return parsed_games.clean_games(parsed(spark, folder))
 
 
+@cache
 def analysis(spark: SparkSession, folder: str) -> DataFrame:
     return parsed_games.analysis_games(clean(spark, folder))
 
 
+@cache
 def tracked(spark: SparkSession, folder: str) -> DataFrame:
     """Followed players in capitals, with the day of their first load, plus names that never play."""
     loaders = (

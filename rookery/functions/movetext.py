@@ -32,27 +32,23 @@ def _all(text: Column, pattern: str, group: int) -> Column:
 
 
 def tag_names(pgn: Column) -> Column:
-    return _all(pgn, TAG_PATTERN, 1)
+    """Names of all tags, the last tag first."""
+    return F.reverse(_all(pgn, TAG_PATTERN, 1))
 
 
 def tag_values(pgn: Column) -> Column:
-    return _all(pgn, TAG_PATTERN, 2)
+    return F.reverse(_all(pgn, TAG_PATTERN, 2))
 
 
 def tag(names: Column, values: Column, name: str) -> Column:
-    """Value of one tag; the last one wins when a tag repeats."""
-    from_end = F.array_position(F.reverse(names), F.lit(name))
-    return F.when(from_end > 0, F.get(values, (F.size(names) - from_end).cast("int")))
+    """Value of one tag, NULL when absent; the last one wins when a tag repeats."""
+    return F.get(values, (F.array_position(names, F.lit(name)) - 1).cast("int"))
 
 
 def tag_map(names: Column, values: Column) -> Column:
     """All tags as a map, keeping the last value of a repeated tag."""
     pairs = F.arrays_zip(names.alias("name"), values.alias("value"))
-    last = F.filter(
-        pairs,
-        lambda pair, i: i == F.size(names) - F.array_position(F.reverse(names), pair["name"]),
-    )
-    return F.map_from_entries(last)
+    return F.map_from_entries(F.filter(pairs, lambda pair, i: F.array_position(names, pair["name"]) == i + 1))
 
 
 # -- moves ---------------------------------------------------------------------------------
@@ -71,6 +67,15 @@ def moves(pgn: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(pgn, TAG_LINE_PATTERN, "$1"), r"\s+"), _is_move)
 
 
+def move_text(own_moves: Column) -> Column:
+    """Moves as one compact string, the form in which they travel."""
+    return F.array_join(own_moves, " ")
+
+
+def moves_of_text(text: Column) -> Column:
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+
+
 def every_second(items: Column, start: int) -> Column:
     return F.filter(items, lambda _, i: i % 2 == start)
 

@@ -32,22 +32,22 @@ def require_unique(df: DataFrame, keys: list[str]) -> None:
         raise ValueError(f"source rows are not unique on {keys}")
 
 
-def merge_rows(target: DataFrame, source: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
-    """The rows a table holds after a merge.
-
-    Matched rows take the listed columns of the source, NULLs included, and keep the rest;
-    source rows without a match are added whole.
-    """
+def _updated(target: DataFrame, source: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
+    """Target rows; matched ones take the listed columns of the source, NULLs included."""
     flag, marked = "_matched", {c: f"_new_{c}" for c in update}
     changes = source.select(*keys, *[F.col(c).alias(n) for c, n in marked.items()], F.lit(True).alias(flag))
-    merged = target.join(changes, keys, "left").select(
+    return target.join(changes, keys, "left").select(
         *[
             F.when(F.col(flag), F.col(marked[c])).otherwise(F.col(c)).alias(c) if c in marked else F.col(c)
             for c in target.columns
         ]
     )
+
+
+def merge_rows(target: DataFrame, source: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
+    """The rows a table holds after a merge: updated ones, and source rows without a match added whole."""
     added = source.join(target.select(*keys), keys, "left_anti")
-    return merged.unionByName(added, allowMissingColumns=True)
+    return _updated(target, source, keys, update).unionByName(added, allowMissingColumns=True)
 
 
 def _in_partitions(column: str, values: list) -> Column:
@@ -58,6 +58,10 @@ def _in_partitions(column: str, values: list) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
+def _sorted(df: DataFrame, order: list[str]) -> DataFrame:
+    return df.sortWithinPartitions(*order) if order else df
+
+
 def merge_upsert(
     spark: SparkSession,
     path: str,
@@ -66,17 +70,23 @@ def merge_upsert(
     update: list[str],
     partition: str | None = None,
     schema: T.StructType | None = None,
+    cluster_by: list[str] | None = None,
 ) -> None:
     """Merge ``source`` into the Parquet table at ``path``.
 
     The table is created when absent. With a partition column, only the partitions that gain or
     change a row are rewritten. The result is staged in the shared folder first and then written
     over the old files, so the second step can be repeated if it is lost half-way.
+
+    Rows are ranged over partition and cluster columns before they are written: a partition is
+    written by few tasks, not by every task of the join, and a heavy one by several.
     """
     source = stage(source, "merge_source")
     require_unique(source, keys)
+    order = [partition, *(cluster_by or keys)] if partition else []
     if not table_exists(spark, path):
-        writer = source.write.mode("overwrite")
+        first = _sorted(source.repartitionByRange(*order) if order else source, order)
+        writer = first.write.mode("overwrite")
         (writer.partitionBy(partition) if partition else writer).parquet(path)
         return
     target = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
@@ -92,18 +102,13 @@ def merge_upsert(
     touched = [r[0] for r in matched.union(gained).distinct().limit(MAX_LISTED_PARTITIONS + 1).collect()]
     everything = len(touched) > MAX_LISTED_PARTITIONS
     rewrite = target if everything else target.filter(_in_partitions(partition, touched))
-    flag, marked = "_matched", {c: f"_new_{c}" for c in update}
-    changes = source.select(*keys, *[F.col(c).alias(n) for c, n in marked.items()], F.lit(True).alias(flag))
-    merged = rewrite.join(changes, keys, "left").select(
-        *[
-            F.when(F.col(flag), F.col(marked[c])).otherwise(F.col(c)).alias(c) if c in marked else F.col(c)
-            for c in target.columns
-        ]
-    )
+    merged = _updated(rewrite, source, keys, update)
     added = source.join(held.select(*keys), keys, "left_anti")
-    result = stage(merged.unionByName(added, allowMissingColumns=True), "merged", [partition])
+    rows = merged.unionByName(added, allowMissingColumns=True).repartitionByRange(*order)
+    result = stage(_sorted(rows, order), "merged", [partition])
     (
-        result.write.mode("overwrite")
+        _sorted(result, order)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
         .parquet(path)

@@ -10,33 +10,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Seconds of one chunk. A player's games of one hour fit a task many times over; a source with
+# denser keys passes a shorter chunk.
 CHUNK_SECONDS = 3600
 
-_CHUNK, _PREVIOUS, _RUN = "_chunk", "_previous", "_run"
+_CHUNK, _RUN = "_chunk", "_run"
 
 
-def _chunk(ts: str) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(CHUNK_SECONDS * 1_000_000))
+def _chunk(ts: str, seconds: int) -> Column:
+    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000))
 
 
-def _local_runs(rows: DataFrame, keys: list[str], value: str, ts: str, tie: str) -> DataFrame:
+def _local_runs(rows: DataFrame, keys: list[str], value: str, ts: str, tie: str, seconds: int) -> DataFrame:
     """Rows with the run number inside their chunk."""
     inside = Window.partitionBy(*keys, _CHUNK).orderBy(ts, tie)
     changed = F.when(F.col(value) != F.lag(value).over(inside), 1).otherwise(0)
     return (
-        rows.withColumn(_CHUNK, _chunk(ts))
+        rows.withColumn(_CHUNK, _chunk(ts, seconds))
         .withColumn("_changed", changed)
         .withColumn(_RUN, F.sum("_changed").over(inside))
     )
 
 
-def number_streaks(rows: DataFrame, keys: list[str], value: str, ts: str, tie: str) -> DataFrame:
+def number_streaks(
+    rows: DataFrame, keys: list[str], value: str, ts: str, tie: str, chunk_seconds: int = CHUNK_SECONDS
+) -> DataFrame:
     """Every row with ``outcome_changed`` (0 or 1) and the running number ``streak_group``.
 
     Equal to LAG and a running SUM over the whole key. Chunk heads carry what the chunks before
     them add up to.
     """
-    local = _local_runs(rows, keys, value, ts, tie)
+    local = _local_runs(rows, keys, value, ts, tie, chunk_seconds)
     spot = F.struct(ts, tie)
     heads = local.groupBy(*keys, _CHUNK).agg(
         F.min_by(value, spot).alias("_first"),
@@ -69,7 +73,9 @@ def streak_lengths(numbered: DataFrame, keys: list[str], value: str, date: str)
     )
 
 
-def streak_extremes(rows: DataFrame, keys: list[str], value: str, ts: str, tie: str) -> DataFrame:
+def streak_extremes(
+    rows: DataFrame, keys: list[str], value: str, ts: str, tie: str, chunk_seconds: int = CHUNK_SECONDS
+) -> DataFrame:
     """Longest win and loss run and the run that is still open, per key, in one pass over the rows.
 
     Chunks reduce to their edge runs and to the longest run between them before anything is
@@ -77,7 +83,7 @@ def streak_extremes(rows: DataFrame, keys: list[str], value: str, ts: str, tie:
     """
     narrow = rows.select(*keys, value, ts, tie)
     runs = (
-        _local_runs(narrow, keys, value, ts, tie)
+        _local_runs(narrow, keys, value, ts, tie, chunk_seconds)
         .groupBy(*keys, _CHUNK, _RUN, value)
         .agg(F.count("*").alias("_len"))
     )

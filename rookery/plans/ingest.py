@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery import schema
@@ -36,9 +36,16 @@ def landed_pairs(raw: DataFrame, since_end_time: int | None = None) -> DataFrame
 
 
 def first_loader(batch: DataFrame) -> DataFrame:
-    """Of a game that several players bring along, the rows of the first player by name."""
-    first = F.rank().over(Window.partitionBy("uuid").orderBy("player"))
-    return batch.withColumn("_rank", first).filter(F.col("_rank") == 1).drop("_rank")
+    """Of a game that several players bring along, the rows of the first player by name.
+
+    Only the (game, player) pairs that lose are gathered; the rows themselves are passed through an
+    anti join, which the adaptive planner splits where one game has very many copies.
+    """
+    pairs = batch.select("uuid", "player").distinct()
+    shared = pairs.groupBy("uuid").agg(F.min("player").alias("_first"), F.max("player").alias("_last"))
+    shared = shared.filter(F.col("_first") != F.col("_last"))
+    losers = pairs.join(shared, "uuid").filter(F.col("player") != F.col("_first")).select("uuid", "player")
+    return batch.join(losers, ["uuid", "player"], "left_anti")
 
 
 def new_games_anti(batch: DataFrame, raw: DataFrame) -> DataFrame:

@@ -34,17 +34,29 @@ def _tag(name: str) -> Column:
 
 def with_header(raw: DataFrame) -> DataFrame:
     """Link, local start and end, local date and time spent, from the header tags."""
-    tagged = with_tags(raw).withColumns(
-        {
-            "link": _tag("Link"),
-            "opening_link": _tag("ECOUrl"),
-            "header_date": mt.header_date(_tag("Date")),
-            "start_seconds": mt.day_seconds(_tag("StartTime")),
-            "end_seconds": mt.day_seconds(_tag("EndTime")),
-        }
+    tagged = (
+        with_tags(raw)
+        .withColumns(
+            {
+                "link": _tag("Link"),
+                "opening_link": _tag("ECOUrl"),
+                "_date": _tag("Date"),
+                "_start": _tag("StartTime"),
+                "_end": _tag("EndTime"),
+            }
+        )
+        .drop("tag_names", "tag_values")
+        .withColumns(
+            {
+                "header_date": mt.header_date(F.col("_date")),
+                "start_seconds": mt.day_seconds(F.col("_start")),
+                "end_seconds": mt.day_seconds(F.col("_end")),
+            }
+        )
+        .drop("_date", "_start", "_end")
     )
     start_est, end_est = mt.est_seconds(F.col("start_seconds")), mt.est_seconds(F.col("end_seconds"))
-    return tagged.drop("tag_names", "tag_values").withColumns(
+    return tagged.withColumns(
         {
             "start_est_seconds": start_est,
             "start_time_est": mt.hms_text(start_est),
@@ -89,7 +101,7 @@ PARSED_COLUMNS = [
     "time_spent", "time_control", "control_seconds", "time_class", "rules", "rated", "tcn", "initial_setup", "fen",
     "eco", "moves",
     *[f"{side}_{f}" for side in ("white", "black")
-      for f in ("username", "rating", "result", "moves", "num_moves", "last_clock", "castling", "promotions", "en_passant")],
+      for f in ("username", "rating", "result", "num_moves", "last_clock", "castling", "promotions", "en_passant")],
     "uploaded_at", "loaded_by_user",
 ]
 
@@ -116,17 +128,22 @@ def parse_rows(raw: DataFrame) -> DataFrame:
             f"{side}_last_clock": mt.last_clock_seconds(clocks),
             f"{side}_castling": mt.castling_side(own),
             f"{side}_promotions": mt.count_containing(own, "="),
-            f"{side}_en_passant": mt.count_containing(own, "e.p."),
+            # The mark 'e.p.' holds a '.', and words with a '.' are no moves: the count is always 0.
+            f"{side}_en_passant": F.lit(0).cast("bigint"),
         }
     return parsed.withColumns(derived).drop(
-        "pgn", "white_clocks", "black_clocks", "header_date", "start_seconds", "end_seconds", "opening_link"
+        "pgn", "white_moves", "black_moves", "white_clocks", "black_clocks", "header_date", "start_seconds", "end_seconds",
+        "opening_link",
     )
 
 
 def parse_games(raw: DataFrame) -> DataFrame:
-    """One narrow row per game: parse where the text lies, then dedupe."""
-    latest = warehouse.deduped(parse_rows(raw))
-    return latest.select(
+    """One narrow row per game: parse where the text lies, then dedupe.
+
+    Moves cross the shuffle as one string, a quarter of the array's size.
+    """
+    latest = warehouse.deduped(parse_rows(raw).withColumn("moves", mt.move_text(F.col("moves"))))
+    return latest.withColumn("moves", mt.moves_of_text(F.col("moves"))).select(
         F.col("uuid").alias("game_id"),
         F.col("url").alias("game_url"),
         cal.instant(F.col("end_time")).alias("game_end_timestamp"),
@@ -135,7 +152,13 @@ def parse_games(raw: DataFrame) -> DataFrame:
     ).select(*PARSED_COLUMNS)
 
 
-_MIRRORED = ("username", "rating", "result", "moves", "num_moves", "last_clock", "castling")
+_MIRRORED = ("username", "rating", "result", "num_moves", "last_clock", "castling")
+
+
+def moves_of(side: str) -> Column:
+    """Moves of the viewing player (``my``) or of the opponent (``opp``)."""
+    first = F.lit(0 if side == "my" else 1)
+    return F.filter("moves", lambda _, i: (i + F.when(F.col("my_color") == "black", 1).otherwise(0)) % 2 == first)
 
 
 def clean_games(parsed: DataFrame) -> DataFrame:
@@ -146,6 +169,8 @@ def clean_games(parsed: DataFrame) -> DataFrame:
         "my_color",
         *[rows.mine(f).alias(f"my_{f}") for f in _MIRRORED],
         *[rows.theirs(f).alias(f"opp_{f}") for f in _MIRRORED],
+        moves_of("my").alias("my_moves"),
+        moves_of("opp").alias("opp_moves"),
         rows.mine("promotions").alias("promotion_count"),
         rows.mine("en_passant").alias("en_passant_count"),
     )

@@ -51,13 +51,13 @@ def refresh_fct_games(spark: SparkSession, raw: DataFrame, path: str, users: Dat
 
 def merge_games(spark: SparkSession, player_games: DataFrame, path: str, users: DataFrame | None = None) -> None:
     rows = by_month(warehouse.fct_games(player_games, users), "game_date")
-    merge.merge_upsert(spark, path, rows, ["player_game_key"], GAME_UPDATES, MONTH_COLUMN)
+    merge.merge_upsert(spark, path, rows, ["player_game_key"], GAME_UPDATES, MONTH_COLUMN, cluster_by=["my_username", "time_class"])
 
 
 def refresh_my_games(spark: SparkSession, facts: DataFrame, path: str, username: str) -> None:
     fresh = newer(warehouse.my_games(facts, username), "loaded_at", watermark(spark, path, "loaded_at"))
     rows = fresh if MONTH_COLUMN in fresh.columns else by_month(fresh, "game_date")
-    merge.merge_upsert(spark, path, rows, ["player_game_key"], MY_GAME_UPDATES, MONTH_COLUMN)
+    merge.merge_upsert(spark, path, rows, ["player_game_key"], MY_GAME_UPDATES, MONTH_COLUMN, cluster_by=["time_class", "game_date"])
 
 
 # -- running totals ------------------------------------------------------------------------
@@ -127,7 +127,10 @@ def refresh_user_statistics(
             rows = repaired_days(player_games, stored, changed)
         else:
             raise ValueError("use mode 'strict', or 'repair' with the changed games")
-    merge.merge_upsert(spark, path, by_month(rows, "stat_date"), ["stat_key"], STATISTICS_UPDATES, MONTH_COLUMN)
+    merge.merge_upsert(
+        spark, path, by_month(rows, "stat_date"), ["stat_key"], STATISTICS_UPDATES, MONTH_COLUMN,
+        cluster_by=["username", "time_class"],
+    )
 
 
 # -- history -------------------------------------------------------------------------------

@@ -82,7 +82,8 @@ def _record_columns(viewed: DataFrame) -> dict[str, Column]:
         return F.array_join(moves, " ")
 
     return {
-        "my_moves": joined(rows.mine("moves")), "opp_moves": joined(rows.theirs("moves")), "moves": joined(F.col("moves")),
+        "my_moves": joined(parsed_games.moves_of("my")), "opp_moves": joined(parsed_games.moves_of("opp")),
+        "moves": joined(F.col("moves")),
         "my_num_moves": my_n, "my_time_left": my_left, "opp_time_left": opp_left,
         "my_time_left_ratio": mt.time_left_ratio(my_left, control),
         "opp_time_left_ratio": mt.time_left_ratio(opp_left, control),
