@@ -1,6 +1,6 @@
 """Files that arrive in the landing folder, merged into the facts as they come.
 
-The reference cadence is a daily batch. ``availableNow`` gives exactly that: each run takes every
+The cadence is a daily batch. ``availableNow`` gives exactly that: each run takes every
 file not seen before, in bounded batches, and stops. The stream's checkpoint remembers the files;
 a batch that is replayed after a failure merges to the same rows.
 """
