@@ -62,8 +62,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
 
 
 def blocks_for(nodes: int, bits: int) -> int:
-    """The fewest blocks whose keys leave ``PER_KEY`` random fingerprints or fewer to a key."""
-    for k in range(bits + 1, bits + 7):
+    """The fewest blocks, at least two over ``bits``, whose keys leave ``PER_KEY`` random fingerprints or fewer to a key."""
+    for k in range(bits + 2, bits + 7):
         if nodes <= PER_KEY << sum(sorted(64 * (i + 1) // k - 64 * i // k for i in range(k))[: k - bits]):
             return k
     return bits + 7
