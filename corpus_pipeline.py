@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rookery.llm import decontaminate, simhash
+from rookery.llm import decontaminate, language, pieces, simhash, toxicity
 from rookery.llm.common import read
 from rookery.session import stage
 
@@ -14,6 +15,27 @@ from rookery.session import stage
 ORACLE_SQL = None
 
 
+#: A document whose language is less certain than this is rejected, as is one without a language.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with some certainty; what it was labelled before is no input and stays."""
+    found = language.identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE))
+    return without(docs, found)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, trained on the given labels, does not call toxic."""
+    return without(docs, toxicity.score(docs, read(spark, sf_dir, "labels")).where("toxic"))
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` without the ids of ``rejected``; columns and other rows as they were, those of a null id by null."""
+    gone = rejected.select(F.col("doc_id").alias("_gone"), F.lit(True).alias("_rejected"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id."""
     return simhash.keep_one(docs)
@@ -24,9 +46,17 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
+def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What training reads: the piece ids of every kept document, which decode to its text."""
+    return pieces.encode_pieces(docs, pieces.default_path())
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("toxicity", toxicity_filter),
     ("near_duplicates", near_duplicates),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("sentence_pieces", sentence_pieces),
 ]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import decontaminate, quality, sharding, simhash
+from rookery.llm import decontaminate, language, pieces, quality, sharding, simhash, toxicity, url_filter
 from rookery.llm.common import read
 
 
@@ -19,6 +19,10 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard(read(spark, folder, "documents"))
     return placed.select(
@@ -30,11 +34,27 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(read(spark, folder, "pages"))
+
+
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(read(spark, folder, "documents"))
+
+
+def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode_pieces(read(spark, folder, "documents"), pieces.default_path())
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
+    "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
     "op5_simhash": op5_simhash,
+    "op7_url_filter": op7_url_filter,
+    "op9_language": op9_language,
+    "op10_pieces": op10_pieces,
 }
 
 ORACLE = {
