@@ -285,10 +285,10 @@ def encode_pieces(docs: DataFrame, path: str, scores: str = "stored", id_col: st
     Null and empty texts have no ids and decode to the empty text (``round_trip`` true). Repeated rows each get a row;
     other columns are ignored. The file at ``path`` is read on the driver and its tables go out with the tasks.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load(path, scores))
+    vocabulary = docs.sparkSession.sparkContext.broadcast(vars(load(path, scores)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value)
+        encoder = Encoder(Vocabulary(**vocabulary.value))
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             at = 0
