@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import decontaminate, language, pieces, quality, sharding, simhash, toxicity, url_filter
+from rookery.llm import decontaminate, html_text, language, licenses, pieces, quality, sharding, simhash, toxicity, url_filter
 from rookery.llm.common import read
 
 
@@ -34,10 +34,18 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(licenses.paths_of(read(spark, folder, "documents")))
+
+
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(read(spark, folder, "pages"))
 
 
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_text(read(spark, folder, "pages"))
+
+
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(read(spark, folder, "documents"))
 
@@ -52,7 +60,9 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
     "op5_simhash": op5_simhash,
+    "op6_license_scan": op6_license_scan,
     "op7_url_filter": op7_url_filter,
+    "op8_main_text": op8_main_text,
     "op9_language": op9_language,
     "op10_pieces": op10_pieces,
 }
