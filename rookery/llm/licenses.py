@@ -128,19 +128,18 @@ def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, t
 
 
 def paths_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, text) of documents laid out as a tree: ``source/hundreds/tens/file``.
+    """(doc_id, path, text) of documents laid out as a tree: ``thousands/hundreds/tens/file``.
 
     The table has no paths. Of each run of ten ids the first is the licence file of its ``tens`` directory, of each
-    hundred that of ``hundreds``, of each thousand that of ``source``; the rest are texts. A null source or id gives a null path.
+    hundred that of ``hundreds``, of each thousand that of ``thousands``; the rest are texts. A null id gives a null path.
     """
     d = F.col("doc_id")
-    text = lambda x: x.cast("string")
-    tree = F.concat_ws("/", F.col("source"), text(F.floor(d / 100)), text(F.floor(d / 10)))
-    name = F.concat(F.lit("/LICENSE-"), text(d))
+    up = lambda n: F.floor(d / n).cast("string")
+    name = F.concat(F.lit("LICENSE-"), d.cast("string"))
     path = (
-        F.when(d % 1000 == 0, F.concat(F.col("source"), name))
-        .when(d % 100 == 0, F.concat(F.col("source"), F.lit("/"), text(F.floor(d / 100)), name))
-        .when(d % 10 == 0, F.concat(tree, name))
-        .otherwise(F.concat(tree, F.lit("/"), text(d), F.lit(".txt")))
+        F.when(d % 1000 == 0, F.concat_ws("/", up(1000), name))
+        .when(d % 100 == 0, F.concat_ws("/", up(1000), up(100), name))
+        .when(d % 10 == 0, F.concat_ws("/", up(1000), up(100), up(10), name))
+        .otherwise(F.concat_ws("/", up(1000), up(100), up(10), F.concat(d.cast("string"), F.lit(".txt"))))
     )
-    return docs.select("doc_id", F.when(F.col("source").isNotNull(), path).alias("path"), "text")
+    return docs.select("doc_id", F.when(d.isNotNull(), path).alias("path"), "text")
