@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.common import ship
+from rookery.llm.common import ship, thinned
 
 ship(__name__)
 
@@ -402,6 +402,7 @@ def main_text(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
     ones that never hold main text is kept. Repeated rows each get a row; other columns are ignored.
     """
     marked = pages.where(F.col("html").contains("<article")).select("html", F.xxhash64("html").alias("_order"))
-    drawn = [r["html"] for r in marked.where(F.length("html") < 20_000).orderBy("_order", "html").limit(sample).collect()]
+    marked = marked.where(F.length("html") < 20_000)  # a page to learn from is no longer than this
+    drawn = [r["html"] for r in thinned(marked, "_order", sample).orderBy("_order", "html").limit(sample).collect()]
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "url", "html").mapInPandas(extractor(learn(drawn)), f"page_id {kind}, url string, text string, n_chars long")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rookery.llm.common import ship
+from rookery.llm.common import ship, thinned
 
 ship(__name__)
 
@@ -203,8 +203,9 @@ def training_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> list:
     pieces = F.array(*[
         F.substr("text", (F.pmod(F.xxhash64("doc_id", F.lit(k)), room) + 1).cast("int"), F.lit(PIECE_CHARS)) for k in range(PIECES)
     ])
-    drawn = known.select("lang", F.xxhash64("doc_id", "text").alias("_order"), pieces.alias("pieces"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("_order"))
+    drawn = thinned(known.select("lang", "doc_id", "text", F.xxhash64("doc_id", F.lit("sample")).alias("_order")), "_order", per_lang, "lang")
+    drawn = drawn.select("lang", "_order", pieces.alias("pieces"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("_order", "pieces"))
     return drawn.withColumn("_n", first).where(F.col("_n") <= per_lang).orderBy("lang", "_n").select("lang", F.explode("pieces").alias("piece")).collect()
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.common import let, ship
+from rookery.llm.common import let, ship, thinned
 
 ship(__name__)
 
@@ -129,7 +129,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     drawn = None
     for part in (known.where("toxic > 0"), known.where("toxic = 0")):
-        first = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        first = thinned(part.withColumn("_order", F.xxhash64("doc_id")), "_order", rows).orderBy("_order", "doc_id").limit(rows).drop("_order")
         drawn = first if drawn is None else drawn.unionByName(first)
     # at most 2 * rows ids, so the broadcast is bounded
     found = docs.where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select(
