@@ -27,7 +27,7 @@ def _facts_after(spark, folder):
 
 
 def fct_games_incremental(spark, folder):
-    return src.edge(spark.read.parquet(_facts_after(spark, folder)).drop("fact_updated_at", sinks.MONTH_COLUMN))
+    return src.edge(spark.read.parquet(_facts_after(spark, folder)).drop("fact_updated_at", refresh.VALUES_AT, sinks.MONTH_COLUMN))
 
 
 def fct_my_games_incremental(spark, folder):

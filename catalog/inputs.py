@@ -16,6 +16,8 @@ from rookery.plans import parsed_games, warehouse
 from rookery.sources import order_archive
 
 OWNER = "Player7"
+# Players of the seed who load their own games.
+SEEDED = tuple(f"Player{i}" for i in range(10))
 TODAY = "2025-02-01"
 BATCH_SPLIT = 1735690100
 
@@ -70,7 +72,7 @@ def tracked(spark: SparkSession, folder: str) -> DataFrame:
     """Followed players in capitals, with the day of their first load, plus names that never play."""
     loaders = (
         raw(spark, folder)
-        .filter(F.length("loaded_by_user") == 7)
+        .filter(F.col("loaded_by_user").isin(*SEEDED))
         .groupBy(F.upper("loaded_by_user").alias("username"))
         .agg(utc_date(F.unix_seconds(F.min("uploaded_at"))).alias("added_at"))
         .withColumn("notes", F.lit("loads own games"))

@@ -17,7 +17,7 @@ def fct_games(spark, folder):
 
 def fct_games_partial_users(spark, folder):
     """The join form, against a dimension that lacks some players."""
-    known = src.users(spark, folder).filter(F.length("username") == 7)
+    known = src.users(spark, folder).filter(F.lower("username").isin(*[n.lower() for n in src.SEEDED]))
     facts = warehouse.fct_games(src.player_games(spark, folder), known)
     return src.edge(facts.select("player_game_key", "my_username", "user_key", "loaded_at"))
 
@@ -135,7 +135,7 @@ ORACLE = {
 SELECT * EXCLUDE (eco_slug_raw, uploaded_at, loaded_by_user), uploaded_at AS loaded_at, md5(my_username) AS user_key FROM pg""",
     "fct_games_partial_users": over("dim") + """
 SELECT player_game_key, my_username, d.user_key, uploaded_at AS loaded_at
-FROM pg LEFT JOIN (SELECT * FROM dim WHERE length(username) = 7) d ON d.username = my_username""",
+FROM pg LEFT JOIN (SELECT * FROM dim WHERE lower(username) IN ('player0', 'player1', 'player2', 'player3', 'player4', 'player5', 'player6', 'player7', 'player8', 'player9')) d ON d.username = my_username""",
     "dim_users": over("dim") + "SELECT * FROM dim",
     "user_stats_join_dim": over("ustats") + """
 SELECT username, user_key, stat_date, time_class, total_games, total_wins, highest_rating_ever FROM ustats""",

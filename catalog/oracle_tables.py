@@ -108,7 +108,7 @@ perday AS (
   SELECT my_username AS username, game_date AS stat_date, time_class, count(*) AS games_played,
     count(*) FILTER (outcome = 'win') AS wins, count(*) FILTER (outcome = 'lose') AS losses,
     count(*) FILTER (outcome = 'draw') AS draws,
-    sum(round(my_accuracy * 10000)::BIGINT)::DOUBLE / 10000 / count(my_accuracy)::DOUBLE AS avg_accuracy,
+    sum(my_accuracy::DECIMAL(38,18))::DOUBLE / count(my_accuracy)::DOUBLE AS avg_accuracy,
     avg(my_rating) AS avg_rating, max(my_rating) AS max_rating, min(my_rating) AS min_rating,
     arg_max(my_rating, game_end_timestamp) FILTER (my_rating IS NOT NULL) AS closing_rating,
     max(game_end_timestamp) AS last_game_at
@@ -269,7 +269,7 @@ an AS (
 _TRACKED = r"""
 tracked AS (
   SELECT upper(loaded_by_user) AS username, min(uploaded_at)::DATE AS added_at, 'loads own games' AS notes
-  FROM raw WHERE length(loaded_by_user) = 7 GROUP BY 1
+  FROM raw WHERE loaded_by_user IN ('Player0', 'Player1', 'Player2', 'Player3', 'Player4', 'Player5', 'Player6', 'Player7', 'Player8', 'Player9') GROUP BY 1
   UNION ALL
   SELECT r_name, DATE '2025-02-01', 'no games yet' FROM region)"""
 

@@ -14,9 +14,9 @@ OUTCOMES = ("win", "draw", "lose")
 # Fixed value: text that stands for NULL inside a surrogate key.
 KEY_NULL = "_dbt_utils_surrogate_key_null_"
 
-# Sums of measured doubles are taken over integers of this scale: exact, and so the same
-# whatever order the partitions arrive in.
-_EXACT_SCALE = 10_000
+# Sums of measured doubles are taken over decimals: exact, and so the same whatever order the
+# partitions arrive in.
+_EXACT = "decimal(38,18)"
 
 
 def outcome_class(result: Column) -> Column:
@@ -33,11 +33,11 @@ def win_rate(wins: Column, total: Column, decimals: int = 4) -> Column:
 
 
 def exact_sum(value: Column) -> Column:
-    return F.sum(F.round(value * _EXACT_SCALE).cast("bigint")).cast("double") / F.lit(float(_EXACT_SCALE))
+    return F.sum(value.cast(_EXACT)).cast("double")
 
 
 def exact_avg(value: Column) -> Column:
-    """Mean of a double that has at most four decimals."""
+    """Mean of a double, over its first 18 decimals."""
     return ratio(exact_sum(value), F.count(value))
 
 

@@ -11,9 +11,6 @@ from pyspark.sql import types as T
 
 from rookery.session import stage
 
-# More partitions than this are rewritten as a whole table instead of by a listed predicate.
-MAX_LISTED_PARTITIONS = 2_000
-
 
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether a Parquet table with at least one file is there."""
@@ -32,36 +29,39 @@ def require_unique(df: DataFrame, keys: list[str]) -> None:
         raise ValueError(f"source rows are not unique on {keys}")
 
 
-def _updated(target: DataFrame, source: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
-    """Target rows; matched ones take the listed columns of the source, NULLs included."""
+def _updated(target: DataFrame, changes: DataFrame, keys: list[str], update: list[str], newest: str | None) -> DataFrame:
+    """Target rows; matched ones take the listed columns of the changes, NULLs included.
+
+    With ``newest``, only where that column of the change is later than the row's own.
+    """
     flag, marked = "_matched", {c: f"_new_{c}" for c in update}
-    changes = source.select(*keys, *[F.col(c).alias(n) for c, n in marked.items()], F.lit(True).alias(flag))
-    return target.join(changes, keys, "left").select(
-        *[
-            F.when(F.col(flag), F.col(marked[c])).otherwise(F.col(c)).alias(c) if c in marked else F.col(c)
-            for c in target.columns
-        ]
+    given = changes.select(*keys, *[F.col(c).alias(n) for c, n in marked.items()], F.lit(True).alias(flag))
+    takes = F.col(flag)
+    if newest:
+        takes = takes & (F.col(newest).isNull() | (F.col(marked[newest]) > F.col(newest)))
+    return target.join(given, keys, "left").select(
+        *[F.when(takes, F.col(marked[c])).otherwise(F.col(c)).alias(c) if c in marked else F.col(c) for c in target.columns]
     )
 
 
-def merge_rows(target: DataFrame, source: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
+def merge_rows(target: DataFrame, source: DataFrame, keys: list[str], update: list[str], newest: str | None = None) -> DataFrame:
     """The rows a table holds after a merge: updated ones, and source rows without a match added whole."""
     added = source.join(target.select(*keys), keys, "left_anti")
-    return _updated(target, source, keys, update).unionByName(added, allowMissingColumns=True)
-
-
-def _in_partitions(column: str, values: list) -> Column:
-    known = [v for v in values if v is not None]
-    tests = [F.col(column).isin(known)] if known else []
-    if len(known) < len(values):
-        tests.append(F.col(column).isNull())
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
+    return _updated(target, source, keys, update, newest).unionByName(added, allowMissingColumns=True)
 
 
 def _sorted(df: DataFrame, order: list[str]) -> DataFrame:
     return df.sortWithinPartitions(*order) if order else df
 
 
+def in_touched(target: DataFrame, touched: DataFrame, partition: str) -> DataFrame:
+    """Rows of ``target`` in the partitions of ``touched`` (one column); a semi join that prunes the scan when it runs."""
+    found = target.join(touched, partition, "left_semi")
+    if not touched.filter(F.col(partition).isNull()).isEmpty():
+        found = found.unionByName(target.filter(F.col(partition).isNull()))
+    return found
+
+
 def merge_upsert(
     spark: SparkSession,
     path: str,
@@ -71,12 +71,15 @@ def merge_upsert(
     partition: str | None = None,
     schema: T.StructType | None = None,
     cluster_by: list[str] | None = None,
+    newest: str | None = None,
 ) -> None:
     """Merge ``source`` into the Parquet table at ``path``.
 
     The table is created when absent. With a partition column, only the partitions that gain or
-    change a row are rewritten. The result is staged in the shared folder first and then written
-    over the old files, so the second step can be repeated if it is lost half-way.
+    change a row are rewritten; they are found in one pass over the stored keys. With ``newest``,
+    a stored row changes only for a source row that is later in that column. The result is
+    staged in the shared folder first and then written over the old files, so the second step
+    can be repeated if it is lost half-way.
 
     Rows are ranged over partition and cluster columns before they are written: a partition is
     written by few tasks, not by every task of the join, and a heavy one by several.
@@ -89,21 +92,19 @@ def merge_upsert(
         writer = first.write.mode("overwrite")
         (writer.partitionBy(partition) if partition else writer).parquet(path)
         return
-    target = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
+    # files of different merges may differ in their columns
+    target = spark.read.schema(schema).parquet(path) if schema else spark.read.option("mergeSchema", "true").parquet(path)
     if partition is None:
-        stage(merge_rows(target, source, keys, update), "merged").write.mode("overwrite").parquet(path)
+        stage(merge_rows(target, source, keys, update, newest), "merged").write.mode("overwrite").parquet(path)
         return
 
-    # Partitions to rewrite: those that hold a matched key, and those that new rows go to.
-    # The key scan reads two columns; a month column has few distinct values.
-    held = target.select(*keys, partition)
-    matched = held.join(source.select(*keys), keys, "left_semi").select(partition)
-    gained = source.join(held.select(*keys), keys, "left_anti").select(partition)
-    touched = [r[0] for r in matched.union(gained).distinct().limit(MAX_LISTED_PARTITIONS + 1).collect()]
-    everything = len(touched) > MAX_LISTED_PARTITIONS
-    rewrite = target if everything else target.filter(_in_partitions(partition, touched))
-    merged = _updated(rewrite, source, keys, update)
-    added = source.join(held.select(*keys), keys, "left_anti")
+    # Where each source row is stored already, if anywhere: the only scan of the stored keys.
+    held = target.select(*keys, F.col(partition).alias("_held_in"), F.lit(True).alias("_held"))
+    placed = stage(source.join(held, keys, "left"), "placed")
+    touched = placed.select(F.when(F.col("_held"), F.col("_held_in")).otherwise(F.col(partition)).alias(partition)).distinct()
+    added = placed.filter(F.col("_held").isNull()).select(*source.columns)
+    changes = placed.filter(F.col("_held")).select(*source.columns)
+    merged = _updated(in_touched(target, touched, partition), changes, keys, update, newest)
     rows = merged.unionByName(added, allowMissingColumns=True).repartitionByRange(*order)
     result = stage(_sorted(rows, order), "merged", [partition])
     (

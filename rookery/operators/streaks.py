@@ -7,6 +7,8 @@ are put in one window per key. That window sees a few rows per hour, not per gam
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,11 +59,14 @@ def number_streaks(
         .select(*keys, _CHUNK, "_joint", (F.col("_offset") + F.col("_joint")).alias("_offset"), "_head")
     )
     is_head = spot == F.col("_head")
+    # NULL keys are keys like any other, as in a window
+    named = heads.select(*[F.col(c).alias(f"_of_{c}") for c in [*keys, _CHUNK]], "_joint", "_offset", "_head")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*keys, _CHUNK]])
     return (
-        local.join(heads, [*keys, _CHUNK])
+        local.join(named, same)
         .withColumn("outcome_changed", F.when(is_head, F.col("_joint")).otherwise(F.col("_changed")))
         .withColumn("streak_group", F.col("_offset") + F.col(_RUN))
-        .drop(_CHUNK, "_changed", _RUN, "_joint", "_offset", "_head")
+        .drop(_CHUNK, "_changed", _RUN, "_joint", "_offset", "_head", *named.columns[: len(keys) + 1])
     )
 
 

@@ -243,7 +243,10 @@ def _duration_labels() -> list[str]:
 
 
 def duration_histogram(games: DataFrame) -> DataFrame:
-    """Games by duration bin, closed on the left, side by side for three classes; every bin is listed."""
+    """Games by duration bin, closed on the left, side by side for three classes; every bin of every player is listed.
+
+    Games past the last edge fall in no bin; a player with none in a bin gets zeros.
+    """
     bins = list(zip(DURATION_EDGES, DURATION_EDGES[1:], _duration_labels()))
     spent = F.col("time_spent")
     number = None
@@ -252,7 +255,6 @@ def duration_histogram(games: DataFrame) -> DataFrame:
         number = F.when(inside, i) if number is None else number.when(inside, i)
     counted = (
         games.select(*PLAYER, "time_class", number.alias("_bin"))
-        .filter(F.col("time_class").isin(*CHART_CLASSES) & F.col("_bin").isNotNull())
         .groupBy(*PLAYER, "_bin", "time_class")
         .agg(F.count("*").alias("_n"))
     )

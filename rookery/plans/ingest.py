@@ -55,6 +55,8 @@ def new_games_anti(batch: DataFrame, raw: DataFrame) -> DataFrame:
     number, read once, so that it reaches the scan.
     """
     first_end = batch.agg(F.min("end_time")).head()[0]
+    if first_end is None and batch.isEmpty():
+        return batch
     return batch.join(landed_pairs(raw, first_end), ["uuid", "player"], "left_anti")
 
 

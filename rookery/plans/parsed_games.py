@@ -128,8 +128,7 @@ def parse_rows(raw: DataFrame) -> DataFrame:
             f"{side}_last_clock": mt.last_clock_seconds(clocks),
             f"{side}_castling": mt.castling_side(own),
             f"{side}_promotions": mt.count_containing(own, "="),
-            # The mark 'e.p.' holds a '.', and words with a '.' are no moves: the count is always 0.
-            f"{side}_en_passant": F.lit(0).cast("bigint"),
+            f"{side}_en_passant": mt.count_containing(own, "e.p.").cast("bigint"),
         }
     return parsed.withColumns(derived).drop(
         "pgn", "white_moves", "black_moves", "white_clocks", "black_clocks", "header_date", "start_seconds", "end_seconds",

@@ -13,6 +13,8 @@ from rookery.sources.sinks import MONTH_COLUMN
 
 # The columns a merge may change.
 GAME_UPDATES = ["my_accuracy", "opp_accuracy", "outcome", "my_result", "opp_result"]
+# When the values of a stored game were uploaded; ``loaded_at`` stays at the first upload.
+VALUES_AT = "values_at"
 MY_GAME_UPDATES = ["outcome", "my_result", "my_accuracy", "opp_accuracy"]
 STATISTICS_UPDATES = [
     "games_played", "wins", "losses", "draws", "avg_accuracy", "avg_rating", "max_rating", "min_rating",
@@ -50,12 +52,15 @@ def refresh_fct_games(spark: SparkSession, raw: DataFrame, path: str, users: Dat
 
 
 def merge_games(spark: SparkSession, player_games: DataFrame, path: str, users: DataFrame | None = None) -> None:
-    rows = by_month(warehouse.fct_games(player_games, users), "game_date")
-    merge.merge_upsert(spark, path, rows, ["player_game_key"], GAME_UPDATES, MONTH_COLUMN, cluster_by=["my_username", "time_class"])
+    """Of several uploads of a game the latest counts, in whatever order they arrive."""
+    rows = by_month(warehouse.fct_games(player_games, users), "game_date").withColumn(VALUES_AT, F.col("loaded_at"))
+    merge.merge_upsert(
+        spark, path, rows, ["player_game_key"], [*GAME_UPDATES, VALUES_AT], MONTH_COLUMN, cluster_by=["my_username", "time_class"], newest=VALUES_AT
+    )
 
 
 def refresh_my_games(spark: SparkSession, facts: DataFrame, path: str, username: str) -> None:
-    fresh = newer(warehouse.my_games(facts, username), "loaded_at", watermark(spark, path, "loaded_at"))
+    fresh = newer(warehouse.my_games(facts, username), "loaded_at", watermark(spark, path, "loaded_at")).drop(VALUES_AT)
     rows = fresh if MONTH_COLUMN in fresh.columns else by_month(fresh, "game_date")
     merge.merge_upsert(spark, path, rows, ["player_game_key"], MY_GAME_UPDATES, MONTH_COLUMN, cluster_by=["time_class", "game_date"])
 

@@ -12,7 +12,7 @@ from rookery.operators import rows
 from rookery.plans import parsed_games, warehouse
 from rookery.sources.landing import is_all_years
 
-DAYS_DEFAULT, DAYS_MOST = 90, 365
+DAYS_DEFAULT = 90
 RECENT_GAMES = 20
 
 _SIDES = ("username", "rating", "result", "accuracy")
@@ -110,9 +110,9 @@ def _of_class(df: DataFrame, time_class: str | None) -> DataFrame:
 
 
 def daily_feed(daily: DataFrame, time_class: str | None = None, limit: int = DAYS_DEFAULT) -> DataFrame:
-    """The newest daily rows of each player, at most 365."""
+    """The newest ``limit`` daily rows of each player."""
     newest = [F.desc("game_date"), F.asc("time_class")]
-    feed = rows.top_per_key(_of_class(daily, time_class), ["my_username"], newest, min(limit, DAYS_MOST), "rn")
+    feed = rows.top_per_key(_of_class(daily, time_class), ["my_username"], newest, limit, "rn")
     return feed.select(
         "my_username", "rn", F.col("game_date").cast("string").alias("game_date"), "game_year", "game_month", "time_class",
         "games_played", "wins", "losses", "draws", F.round("win_rate", 4).alias("win_rate"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rookery import schema
 from rookery.functions.calendar import utc_date
@@ -11,6 +12,9 @@ from rookery.functions.calendar import utc_date
 # Year words that mean every year.
 ALL_YEARS = ("ALL", "0000")
 
+# Column that keeps the text of a month document that cannot be read.
+CORRUPT = "_corrupt_record"
+
 _GAME_FIELDS = [f.name for f in schema.GAME if f.name not in ("white", "black", "accuracies")]
 _PLAYER_FIELDS = [f.name for f in schema.PLAYER]
 
@@ -34,10 +38,26 @@ def nest_games(raw: DataFrame) -> DataFrame:
 
 
 def read_month_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Nested games of a folder of month documents laid out as ``loaded_by_user=/year=/month=``."""
-    documents = spark.read.schema(schema.MONTH_ARCHIVE).option("multiLine", "false").json(path)
-    partitions = [c for c in documents.columns if c != "games"]
-    return documents.select(F.explode("games").alias("game"), *partitions)
+    """Nested games of a folder of month documents laid out as ``loaded_by_user=/year=/month=``.
+
+    Documents that cannot be read are in ``broken_documents``.
+    """
+    documents = _documents(spark, path)
+    partitions = [c for c in documents.columns if c not in ("games", CORRUPT)]
+    return documents.filter(F.col(CORRUPT).isNull()).select(F.explode("games").alias("game"), *partitions)
+
+
+def broken_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Month documents that cannot be read, whole, as text, with the player, year and month of their folder."""
+    documents = _documents(spark, path)
+    return documents.filter(F.col(CORRUPT).isNotNull()).drop("games").withColumnRenamed(CORRUPT, "document")
+
+
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    kept = T.StructType([*schema.MONTH_ARCHIVE.fields, T.StructField(CORRUPT, T.StringType())])
+    reader = spark.read.schema(kept).option("multiLine", "false").option("columnNameOfCorruptRecord", CORRUPT)
+    # with the games in the plan, so that every document is parsed even where only the broken ones are asked for
+    return reader.json(path).withColumn("games", F.when(F.col(CORRUPT).isNull(), F.col("games")))
 
 
 def scan_raw_games(spark: SparkSession, path: str) -> DataFrame:

@@ -77,12 +77,8 @@ _LANDED = [
 
 
 def read_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Keys of the orders table, spread over the cores when it comes in fewer files than there are cores."""
-    orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_custkey")
-    cores = spark.sparkContext.defaultParallelism
-    if len(orders.inputFiles()) < cores:
-        orders = orders.repartition(cores, "o_orderkey")
-    return orders
+    """Keys of the orders table, spread by key before the record texts are made of them."""
+    return spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_custkey").repartition("o_orderkey")
 
 
 def raw_games_from_orders(orders: DataFrame) -> DataFrame:
