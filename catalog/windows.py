@@ -35,6 +35,12 @@ def streak_group(spark, folder):
     return numbered.select("my_username", "time_class", "game_id", "outcome", "streak_group")
 
 
+def streak_group_null_class(spark, folder):
+    """Games without a time class form runs of their own."""
+    facts = src.facts(spark, folder).withColumn("time_class", F.expr("nullif(time_class, 'daily')"))
+    return warehouse.numbered_outcomes(facts).select("my_username", "time_class", "game_id", "outcome", "streak_group")
+
+
 def streak_lengths(spark, folder):
     return warehouse.streak_table(src.facts(spark, folder))
 
@@ -88,7 +94,7 @@ def event_streaks(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        dedupe_latest, cumulative_user_stats, cumulative_my_daily, outcome_changed, streak_group, streak_lengths,
+        dedupe_latest, cumulative_user_stats, cumulative_my_daily, outcome_changed, streak_group, streak_group_null_class, streak_lengths,
         best_streaks, current_streak, top_openings_5min, recent_games_10, top_openings_by_win_rate,
         latest_per_time_class, longest_streak, rolling_outcome_share, event_streaks,
     )
@@ -103,6 +109,8 @@ SELECT username AS my_username, stat_date AS game_date, time_class, total_games,
 FROM ustats""",
     "outcome_changed": over("runs") + "SELECT * EXCLUDE nth FROM marked",
     "streak_group": over("runs") + "SELECT my_username, time_class, game_id, outcome, streak_group FROM grouped",
+    "streak_group_null_class": over("runs") + """
+SELECT my_username, nullif(time_class, 'daily') AS time_class, game_id, outcome, streak_group FROM grouped""",
     "streak_lengths": over("runs") + "SELECT * FROM runs",
     "best_streaks": over("runs") + "SELECT my_username, time_class, longest_win_streak, longest_loss_streak FROM best",
     "current_streak": over("runs") + "SELECT my_username, time_class, current_streak_outcome, current_streak_length FROM best",

@@ -55,9 +55,8 @@ def broken_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
     kept = T.StructType([*schema.MONTH_ARCHIVE.fields, T.StructField(CORRUPT, T.StringType())])
-    reader = spark.read.schema(kept).option("multiLine", "false").option("columnNameOfCorruptRecord", CORRUPT)
-    # with the games in the plan, so that every document is parsed even where only the broken ones are asked for
-    return reader.json(path).withColumn("games", F.when(F.col(CORRUPT).isNull(), F.col("games")))
+    document = F.from_json("value", kept, {"columnNameOfCorruptRecord": CORRUPT})
+    return spark.read.text(path).withColumn("_d", document).select("*", "_d.games", f"_d.{CORRUPT}").drop("value", "_d")
 
 
 def scan_raw_games(spark: SparkSession, path: str) -> DataFrame:
