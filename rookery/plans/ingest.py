@@ -62,23 +62,29 @@ def new_games_anti(batch: DataFrame, raw: DataFrame) -> DataFrame:
 
 def run_rows(
     fetched: DataFrame, uploaded: DataFrame, tracked: DataFrame, duration: float, triggered_by: str, dry_run: bool,
-    run_at: Column,
+    run_at: Column, broken: DataFrame | None = None,
 ) -> DataFrame:
-    """One summary row per followed player."""
+    """One summary row per followed player; one with a month document that cannot be read has failed, whatever else came in."""
     ran = "dry_run" if dry_run else "success"
+    unread = tracked.select(F.lower("username").alias("player"), F.lit(0).cast("bigint").alias("n_broken")).distinct()
+    if broken is not None:
+        counts = broken.groupBy(F.lower("loaded_by_user").alias("player")).agg(F.count("*").alias("n_broken"))
+        unread = unread.drop("n_broken").join(counts, "player", "left")
     per_player = (
         tracked.select(F.col("username"), F.lower("username").alias("player"))
         .join(fetched, "player", "left")
         .join(uploaded, "player", "left")
+        .join(unread, "player", "left")
     )
+    failed = F.coalesce("n_broken", F.lit(0)) > 0
     return per_player.select(
         run_at.alias("run_at"),
         "username",
-        F.when(F.coalesce("n_fetched", F.lit(0)) == 0, "skipped").otherwise(ran).alias("status"),
+        F.when(failed, "failed").when(F.coalesce("n_fetched", F.lit(0)) == 0, "skipped").otherwise(ran).alias("status"),
         F.coalesce("n_fetched", F.lit(0)).alias("games_fetched"),
         F.coalesce("n_uploaded", F.lit(0)).alias("games_uploaded"),
         F.lit(float(duration)).alias("duration_seconds"),
-        F.lit(None).cast("string").alias("error_message"),
+        F.when(failed, F.concat(F.col("n_broken").cast("string"), F.lit(" month documents cannot be read"))).alias("error_message"),
         F.lit(triggered_by).alias("triggered_by"),
     )
 
@@ -92,11 +98,12 @@ def ingest(
     triggered_by: str = "local",
     dry_run: bool = False,
     uploaded_at: Column | None = None,
+    broken: DataFrame | None = None,
 ) -> DataFrame:
     """High-water marks, month prune, anti join, append, audit; returns the audit rows.
 
-    ``archive`` has ``game``, ``loaded_by_user``, ``year`` and ``month``. A dry run appends and
-    logs nothing.
+    ``archive`` has ``game``, ``loaded_by_user``, ``year`` and ``month``; ``broken`` has the documents of
+    ``broken_documents``. A dry run appends and logs nothing.
     """
     started = time.time()
     raw = landing.scan_raw_games(spark, landing_path) if merge.table_exists(spark, landing_path) else _empty_landing(spark)
@@ -118,7 +125,7 @@ def ingest(
         uploaded_counts = staged.groupBy("player").agg(F.count("*").alias("n_uploaded"))
     runs = run_rows(
         fetched_counts, uploaded_counts, tracked, time.time() - started, triggered_by, dry_run,
-        F.current_timestamp() if uploaded_at is None else uploaded_at,
+        F.current_timestamp() if uploaded_at is None else uploaded_at, broken,
     )
     logged = stage(sinks.run_log_rows(runs), "runs")
     if not dry_run:

@@ -66,15 +66,12 @@ def total_time_spent_hours(games: DataFrame) -> DataFrame:
 
 
 def opponent_counts(games: DataFrame) -> DataFrame:
-    return rows.value_counts(games, PLAYER, "opp_username", "games_played").orderBy(
-        *PLAYER, F.desc("games_played"), "opp_username"
-    )
+    """Games with every opponent of each player, in no order; ``top_opponents`` ranks them."""
+    return rows.value_counts(games, PLAYER, "opp_username", "games_played")
 
 
 def time_control_counts(games: DataFrame) -> DataFrame:
-    return rows.value_counts(games, PLAYER, "time_control", "games_played").orderBy(
-        *PLAYER, F.desc("games_played"), "time_control"
-    )
+    return rows.value_counts(games, PLAYER, "time_control", "games_played")
 
 
 def castling_counts(games: DataFrame) -> DataFrame:

@@ -91,9 +91,17 @@ def _carry_on(daily: DataFrame, carried: DataFrame) -> DataFrame:
     )
 
 
+def since_day(df: DataFrame, day, column: str = "game_date") -> DataFrame:
+    """Rows from a day on; the day is a literal, on the month column too where there is one, and so prunes folders."""
+    if day is None:
+        return df
+    kept = df.filter(F.col(column) >= F.lit(day))
+    return kept.filter(F.col(MONTH_COLUMN) >= F.lit(day.replace(day=1))) if MONTH_COLUMN in df.columns else kept
+
+
 def new_days(player_games: DataFrame, stored: DataFrame, mark) -> DataFrame:
     """Statistics rows of the days after the last stored day of the whole table."""
-    daily = warehouse.daily_user_stats(newer(player_games, "game_date", mark))
+    daily = warehouse.daily_user_stats(newer(since_day(player_games, mark), "game_date", mark))
     return warehouse.user_statistics_rows(_carry_on(daily, _carried(stored)))
 
 
@@ -103,9 +111,10 @@ def repaired_days(player_games: DataFrame, stored: DataFrame, changed: DataFrame
     ``changed`` holds the games that are new or uploaded again, on whatever day they were played.
     """
     touched = changed.groupBy(F.col("my_username").alias("username"), "time_class").agg(F.min("game_date").alias("_from"))
+    touched = stage(touched, "touched")
     key = ["username", "time_class"]
     again = (
-        player_games.withColumnRenamed("my_username", "username")
+        since_day(player_games, touched.agg(F.min("_from")).head()[0]).withColumnRenamed("my_username", "username")
         .join(touched, key)
         .filter(F.col("game_date") >= F.col("_from"))
         .withColumnRenamed("username", "my_username")

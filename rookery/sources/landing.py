@@ -76,7 +76,12 @@ def is_all_years(year: object) -> bool:
 
 
 def year_filter(df: DataFrame, year: object, column: str = "game_year") -> DataFrame:
-    return df if is_all_years(year) else df.filter(F.col(column) == int(year))
+    """Rows of one year or of all; parsed games, which have no year column, are asked by their date."""
+    if is_all_years(year):
+        return df
+    if column not in df.columns and "date" in df.columns:
+        return df.filter(F.substring(F.col("date").cast("string"), 1, 4) == str(int(year)))
+    return df.filter(F.col(column) == int(year))
 
 
 def month_number(epoch_seconds: Column) -> Column:

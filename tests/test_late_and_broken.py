@@ -8,7 +8,7 @@ import json
 from pyspark.sql import functions as F
 
 from rookery.operators import merge, streaks
-from rookery.plans import charts, ingest
+from rookery.plans import charts, ingest, refresh
 from rookery.session import work_path
 from rookery.sources import landing
 
@@ -85,3 +85,32 @@ def test_broken_documents_are_kept_apart(spark, tmp_path):
     broken = landing.broken_documents(spark, str(tmp_path)).collect()
     assert sorted(r["uuid"] for r in games) == ["g1", "g2"]
     assert len(broken) == 2 and {r["loaded_by_user"] for r in broken} == {"ann"} and any("no time" in r["document"] for r in broken)
+
+
+def test_a_run_with_broken_documents_has_failed(spark):
+    tracked = spark.createDataFrame([("ANN",), ("Bob",), ("Cyd",)], "username string")
+    counts = spark.createDataFrame([("ann", 4), ("bob", 2)], "player string, n_fetched long")
+    uploaded = counts.withColumnRenamed("n_fetched", "n_uploaded")
+    broken = spark.createDataFrame([("Ann", "{"), ("ann", "{"), ("dan", "{")], "loaded_by_user string, document string")
+    rows = ingest.run_rows(counts, uploaded, tracked, 0.0, "test", False, F.current_timestamp(), broken).collect()
+    assert {r["username"]: (r["status"], r["error_message"]) for r in rows} == {
+        "ANN": ("failed", "2 month documents cannot be read"), "Bob": ("success", None), "Cyd": ("skipped", None),
+    }
+
+
+def test_a_repair_reads_only_months_from_the_first_touched_day(spark):
+    import datetime
+
+    path = work_path(spark, "by_month")
+    days = spark.range(120).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("game_date"))
+    refresh.by_month(days, "game_date").write.partitionBy(refresh.MONTH_COLUMN).parquet(path)
+    kept = refresh.since_day(spark.read.parquet(path), datetime.date(2024, 3, 15))
+    assert kept.count() == 120 - 74
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    assert refresh.MONTH_COLUMN in filters and "2024-03-01" in filters or "19783" in filters
+
+
+def test_a_year_of_parsed_games(spark):
+    games = spark.createDataFrame([("2024.05.01",), ("2023.12.31",), (None,)], "date string")
+    assert landing.year_filter(games, 2024).count() == 1 and landing.year_filter(games, "ALL").count() == 3
