@@ -92,7 +92,7 @@ RULES = (
     Rule("lines", "10 * n_dup_lines > 4 * n_lines", "n_dup_lines = 0 AND n_lines > 1"),
     Rule("repeats", "10 * n_repeat_words > 3 * n_words", "20 * n_repeat_words < n_words"),
     Rule("capitals", "10 * n_upper > 4 * word_chars", "10 * n_upper < word_chars"),
-    Rule("stops", "n_words >= 30 AND 100 * n_stops < 6 * n_words", "100 * n_stops > 8 * n_words"),
+    Rule("stops", "n_words >= 30 AND 100 * n_stops < 4 * n_words", "100 * n_stops > 8 * n_words"),
 )
 
 
