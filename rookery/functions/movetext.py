@@ -191,6 +191,7 @@ def time_control_label(control: Column) -> Column:
     divisor = F.get(part, F.lit(1))
     is_daily = (F.size(part) == 2) & part[0].rlike(_WHOLE_NUMBER) & divisor.rlike(_WHOLE_NUMBER)
     days = F.try_divide(part[0].try_cast("double"), F.try_divide(divisor.try_cast("double"), F.lit(86400.0)))
+    # The label texts.
     unknown = F.concat(F.lit("Unrecognized format: "), control)
     return (
         F.when(control.isNull() | (control == ""), "Invalid time control")

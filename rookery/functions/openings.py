@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that end an opening family's name.
-FAMILY_WORDS = ("Defense", "Gambit", "Opening", "Game", "Attack", "System")
-
 # Fixed patterns: the link tag, and the shortest leading part that ends in a family word.
 LINK_PATTERN = r'\[ECOUrl "https?://[^"]+/openings/([^"]+)"\]'
-FAMILY_PATTERN = "^(.+?(?:" + "|".join(FAMILY_WORDS) + "))"
+FAMILY_PATTERN = "^(.+?(?:Defense|Gambit|Opening|Game|Attack|System))"
 
 NO_OPENING = "No Opening"
 NOT_MINE = "N/A"

@@ -11,6 +11,7 @@ from rookery.operators import rows, streaks
 PLAYER = ["my_username"]
 
 # The result words counted by name.
+# Result words in their order.
 NAMED_RESULTS = ("win", "checkmated", "timeout", "timevsinsufficient", "resigned", "stalemate", "repetition",
                  "abandoned", "insufficient", "agreed")
 DRAWN_RESULTS = ("stalemate", "repetition", "timevsinsufficient", "insufficient", "agreed")

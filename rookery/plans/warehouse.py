@@ -20,6 +20,7 @@ _TIME = ["game_end_timestamp", "game_date", "game_year", "game_month", "game_day
 _STAGED_SIDES = ["username", "rating", "result", "uuid", "accuracy"]
 _SIDES = ["username", "rating", "result", "accuracy"]
 
+# Output columns in their order.
 PLAYER_GAME_COLUMNS = [
     "player_game_key", "game_id", "game_url", *_TIME,
     "time_class", "raw_time_control", "rules", "rated",
@@ -28,6 +29,7 @@ PLAYER_GAME_COLUMNS = [
     "outcome", "rating_diff", "username_year", "uploaded_at", "loaded_by_user",
 ]
 
+# Output columns in their order.
 FACT_COLUMNS = [
     "player_game_key", "game_id", "game_url", "user_key", "my_username", *_TIME,
     "time_class", "raw_time_control", "rules", "rated",
@@ -257,6 +259,7 @@ def cumulative_user_stats(daily: DataFrame) -> DataFrame:
     )
 
 
+# Output columns in their order.
 USER_STATISTICS_COLUMNS = [
     "stat_key", "user_key", "username", "stat_date", "time_class", "games_played", "wins", "losses", "draws",
     "avg_accuracy", "avg_rating", "max_rating", "min_rating", "closing_rating",
