@@ -21,19 +21,15 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with some certainty; what it was labelled before is no input and stays."""
-    found = language.identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE))
-    return without(docs, found)
+    judged = docs.withColumn("_language_verdict", language.verdict(docs))
+    told = (F.col("_language_verdict.lang_pred") != "und") & (F.col("_language_verdict.score") >= LEAST_LANGUAGE_SCORE)
+    return judged.where(told).select(*docs.columns)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, trained on the given labels, does not call toxic."""
-    return without(docs, toxicity.score(docs, read(spark, sf_dir, "labels")).where("toxic"))
-
-
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``rejected``; columns and other rows as they were, those of a null id by null."""
-    gone = rejected.select(F.col("doc_id").alias("_gone"), F.lit(True).alias("_rejected"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    judged = docs.withColumn("_toxicity_verdict", toxicity.verdict(docs, read(spark, sf_dir, "labels")))
+    return judged.where(F.col("_toxicity_verdict.p_toxic") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

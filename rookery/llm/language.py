@@ -199,36 +199,41 @@ def is_held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> list:
     """Rows (piece, lang): the documents of smallest hash per language among those to learn from, a few pieces of each from hashed places."""
     known = docs.where(~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    order = known.select("lang", "doc_id", F.xxhash64("doc_id", F.lit("sample")).alias("_order"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("_order", "doc_id"))
+    drawn = thinned(order, "_order", per_lang, "lang").withColumn("_n", first).where(F.col("_n") <= per_lang).select("doc_id").distinct()
     room = F.greatest(F.length("text") - PIECE_CHARS, F.lit(0)) + 1
     pieces = F.array(*[
         F.substr("text", (F.pmod(F.xxhash64("doc_id", F.lit(k)), room) + 1).cast("int"), F.lit(PIECE_CHARS)) for k in range(PIECES)
     ])
-    drawn = thinned(known.select("lang", "doc_id", "text", F.xxhash64("doc_id", F.lit("sample")).alias("_order")), "_order", per_lang, "lang")
-    drawn = drawn.select("lang", "_order", pieces.alias("pieces"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("_order", "pieces"))
-    return drawn.withColumn("_n", first).where(F.col("_n") <= per_lang).orderBy("lang", "_n").select("lang", F.explode("pieces").alias("piece")).collect()
+    # as small as the sample itself, which goes to the driver
+    found = known.join(F.broadcast(drawn), "doc_id").select("doc_id", "lang", F.posexplode(pieces).alias("k", "piece"))
+    return found.orderBy("lang", "doc_id", "k", "piece").select("lang", "piece").collect()
 
 
 def predictor(net: Network | None):
-    """A function for ``mapInPandas`` over (text, ...) that adds ``lang_pred`` and ``score``."""
+    """A column function of texts (null where there is no letter) that gives ``lang_pred`` and ``score``."""
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
+            names, scores = [], []
             for at in range(0, len(batch), 256):  # bounds the windows held at once
-                part = batch.iloc[at : at + 256]
-                texts = ["" if t is None or not letter else t for t, letter in zip(part["text"], part["has_letter"])]
-                if net is None:
-                    best, score = np.zeros(len(part), int), np.zeros(len(part))
-                else:
-                    p = pooled(net, texts)
-                    best, score = p.argmax(axis=1), p.max(axis=1)
-                names = [net.langs[b] if net and t else "und" for b, t in zip(best, texts)]
-                parts.append(part.drop(columns=["text", "has_letter"]).assign(lang_pred=names, score=np.where([bool(t) for t in texts], np.clip(score, 0, 1), 0.0)))
-            if parts:
-                yield pd.concat(parts)
+                texts = ["" if t is None else t for t in batch.iloc[at : at + 256]]
+                p = pooled(net, texts) if net else np.zeros((len(texts), 1))
+                names += [net.langs[k] if net and t else "und" for k, t in zip(p.argmax(axis=1), texts)]
+                scores += [float(x) if t else 0.0 for x, t in zip(np.clip(p.max(axis=1), 0, 1), texts)]
+            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float)})
 
-    return predict
+    # the hints are given as objects: the worker looks them up by value
+    predict.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(predict, "lang_pred string, score double")
+
+
+def verdict(docs: DataFrame, model_docs: DataFrame | None = None) -> Column:
+    """(lang_pred, score) as a column over ``text``, learned from ``model_docs`` (default: ``docs``); other columns stay outside Python."""
+    sample = training_sample(docs if model_docs is None else model_docs)
+    net = fit([r["piece"] for r in sample], [r["lang"] for r in sample]) if sample else None
+    return predictor(net)(F.when(F.col("text").rlike(r"\p{L}"), F.col("text")))
 
 
 def identify(docs: DataFrame, model_docs: DataFrame | None = None) -> DataFrame:
@@ -237,11 +242,5 @@ def identify(docs: DataFrame, model_docs: DataFrame | None = None) -> DataFrame:
     ``und`` with score 0 for a null text, one without a letter, or if there is nothing to learn from. A null id is
     never held out. Repeated rows each get a row; columns other than doc_id, text and lang (training) are not used.
     """
-    sample = training_sample(docs if model_docs is None else model_docs)
-    net = fit([r["piece"] for r in sample], [r["lang"] for r in sample]) if sample else None
-    rows = docs.select(
-        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text",
-        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"),
-    )
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(predictor(net), f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
+    found = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), verdict(docs, model_docs).alias("v"))
+    return found.select("doc_id", "held_out", "v.lang_pred", "v.score")

@@ -24,6 +24,7 @@ ship(__name__)
 CATEGORIES = ("low_quality", "toxic", "severe")
 #: The training sample: at most so many toxic and so many other labelled rows, those of smallest hash.
 SAMPLE_ROWS, VOCABULARY, FOLDS = 2_000, 512, 5
+THRESHOLD = 0.5
 
 
 def features(text: Column) -> Column:
@@ -141,22 +142,20 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 
 def predictor(chain: Chain | None):
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            hashes = [np.asarray(h, dtype=np.int64) for h in batch["hashes"]]
-            p = chain.probabilities(hashes) if chain else np.zeros((len(batch), len(CATEGORIES)))
-            yield batch.drop(columns="hashes").assign(**{f"p_{c}": p[:, k] for k, c in enumerate(CATEGORIES)})
+    """A column function of feature hashes that gives the probability of each category."""
 
-    return predict
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            p = chain.probabilities([np.asarray(h, dtype=np.int64) for h in batch]) if chain else np.zeros((len(batch), len(CATEGORIES)))
+            yield pd.DataFrame({f"p_{c}": p[:, k] for k, c in enumerate(CATEGORIES)})
 
+    # the hints are given as objects: the worker looks them up by value
+    predict.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(predict, ", ".join(f"p_{c} double" for c in CATEGORIES))
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, p_low_quality, p_toxic, p_severe, toxic): one row per input row.
 
-    ``toxic`` says whether ``p_toxic`` reaches ``threshold``. A null or empty text has no features and is not toxic,
-    nor is any text if no labelled row can be learned from. Labels of an id that comes twice count as toxic if one is.
-    Repeated rows each get a row; other columns are ignored.
-    """
+def verdict(docs: DataFrame, labels: DataFrame) -> Column:
+    """The probabilities as a column over ``text``, learned from labelled rows; other columns stay outside Python."""
     sample = training_sample(docs, labels)
     chain = None
     if sample and any(r["toxic"] for r in sample) and not all(r["toxic"] for r in sample):
@@ -164,9 +163,15 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
             [np.array(r["hashes"], dtype=np.int64) for r in sample], np.array([float(r["quality"] == 0) for r in sample]),
             np.array([float(r["toxic"] > 0) for r in sample]), np.array([r["fold"] for r in sample]),
         )
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", features(F.col("text")).alias("hashes"))
-    columns = ", ".join(f"p_{c} double" for c in CATEGORIES)
-    return rows.mapInPandas(predictor(chain), f"doc_id {kind}, {columns}").withColumn(
-        "toxic", F.col("p_toxic") >= threshold
-    )
+    return predictor(chain)(features(F.col("text")))
+
+
+def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, p_low_quality, p_toxic, p_severe, toxic): one row per input row.
+
+    ``toxic`` says whether ``p_toxic`` reaches ``threshold``. A null or empty text has no features and is not toxic,
+    nor is any text if no labelled row can be learned from. Labels of an id that comes twice count as toxic if one is.
+    Repeated rows each get a row; other columns are ignored.
+    """
+    found = docs.select("doc_id", verdict(docs, labels).alias("v")).select("doc_id", "v.*")
+    return found.withColumn("toxic", F.col("p_toxic") >= threshold)
