@@ -1,8 +1,8 @@
 """Quality by weak supervision: rules vote or abstain, EM learns how far to trust each, a posterior decides.
 
-Counts are taken from whole texts inside one row. The votes of the corpus are summed to one row per vote
-pattern (at most ``3 ** len(RULES)``, whatever the input), expectation-maximisation runs on those sums, and the
-learned weights go back into a column expression. All votes are used, none sampled.
+Counts are taken from whole texts inside one row. The votes of the texts that pass the base test are summed to one
+row per vote pattern (at most ``3 ** len(RULES)``, whatever the input), expectation-maximisation runs on those sums,
+and the learned weights go back into a column expression. All votes of these texts are used, none sampled.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ RULES = (
     Rule("lines", "10 * n_dup_lines > 4 * n_lines", "n_dup_lines = 0 AND n_lines > 1"),
     Rule("repeats", "10 * n_repeat_words > 3 * n_words", "20 * n_repeat_words < n_words"),
     Rule("capitals", "10 * n_upper > 4 * word_chars", "10 * n_upper < word_chars"),
-    Rule("stops", "n_words >= 30 AND 100 * n_stops < 4 * n_words", "100 * n_stops > 8 * n_words"),
+    Rule("stops", "n_words >= 30 AND 100 * n_stops < 6 * n_words", "100 * n_stops > 8 * n_words"),
 )
 
 
@@ -176,12 +176,14 @@ def fit(voted: DataFrame, rules: tuple[Rule, ...] = RULES) -> VoteModel:
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """Counts, votes, posterior ``p_quality`` and the verdict ``kept``, one row per input row.
 
-    ``kept`` is false for a text that fails the base test, else whether the posterior reaches ``threshold``.
+    ``kept`` is false for a text that fails the base test, else whether the posterior reaches ``threshold``. The model
+    is that of texts that pass the base test: fitted with the others, the bad class is what the base test removes
+    anyway, and rules against other junk look weak beside it.
     Null and empty texts have no words and fail the base test; repeated rows each get their row; other columns
     of the input are not looked at; an empty table gives an empty table.
     """
     counted = stage(votes(features(docs), rules), "quality_votes")
-    model = fit(counted, rules)
+    model = fit(counted.where(~base_failed()), rules)
     return counted.withColumns({"p_quality": model.column(), "base_failed": base_failed()}).withColumn(
         "kept", ~F.col("base_failed") & (F.col("p_quality") >= threshold)
     )

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from rookery.llm import quality
 from rookery.llm.common import read
 
@@ -83,3 +85,11 @@ def test_agrees_with_labels(spark):
     n = {(r["quality"], r["kept"]): r["count"] for r in found.groupBy("quality", "kept").count().collect()}
     good = n.get((1, True), 0) / max(1, n.get((1, True), 0) + n.get((1, False), 0))
     assert good > 0.98
+
+
+def test_texts_that_fail_the_base_test_do_not_shape_the_model(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    found = {r["doc_id"]: r["p_quality"] for r in quality.quality_rules(docs).where("NOT base_failed").collect()}
+    alone = quality.quality_rules(docs.where(F.col("doc_id").isin(list(found)))).collect()
+    assert 0 < len(found) < docs.count()
+    assert all(abs(found[r["doc_id"]] - r["p_quality"]) < 1e-6 for r in alone)
