@@ -24,6 +24,8 @@ ship(__name__)
 #: Fixed sets of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg iframe object head".split())
+#: Of these, what a browser reads as text to the end of the page if no end tag follows.
+TO_THE_END = frozenset("script style textarea title".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -53,6 +55,11 @@ TOKENS = {
 }
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HIDDEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>]).*?(?:</\1\s*>|\Z)"
+    r"|<(/?)(noscript|template|svg|iframe|object)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    re.S | re.I,
+)
 _SPACE = re.compile(r"\s+")
 _TAG_NUMBER = {t: k for k, t in enumerate(TAGS)}
 
@@ -69,10 +76,26 @@ class Node:
     links: int = 0  # characters inside links, own block only
 
 
+def hidden_ends(page: str) -> dict[int, int]:
+    """Where each start tag of noscript, template, svg, iframe and object ends, if it is closed: the end of its end tag."""
+    found, opened = {}, {}
+    for m in _HIDDEN.finditer(page):
+        if not m[3]:
+            continue
+        starts = opened.setdefault(m[3].lower(), [])
+        if not m[2]:
+            if not (m[3].lower() == "svg" and m[4].rstrip().endswith("/")):
+                starts.append(m.end())
+        elif starts:
+            found[starts.pop()] = m.end()
+    return found
+
+
 def parse(page: str) -> list[Node]:
     """Block elements of a page in page order, each after its parent; text inside inline elements belongs to its block."""
     nodes = [Node("html", -1, 0)]
     block, opened, link, at = 0, [(0, "html")], 0, 0
+    hidden: dict[int, int] | None = None
     while at < len(page):
         m = _TAG.search(page, at)
         text = page[at : m.start()] if m else page[at:]
@@ -99,6 +122,11 @@ def parse(page: str) -> list[Node]:
                 nodes[block].parts.append(" ")
             continue
         if name in RAW:
+            if name != "head" and name not in TO_THE_END:
+                hidden = hidden_ends(page) if hidden is None else hidden
+                at = hidden.get(at, at)  # empty or never closed: what follows is page text
+                nodes[block].parts.append(" ")
+                continue
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             if name != "head":
                 at = end.end() if end else len(page)

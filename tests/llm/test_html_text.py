@@ -62,6 +62,32 @@ def test_parser():
     assert lines == ["one two three & é", "four", "a", "b", "c", "tail end"]
 
 
+@pytest.mark.parametrize("tag, kept", [
+    ("<svg class=x />", True), ("<svg/>", True), ("<svg>", True), ("<noscript>", True), ("<template>", True), ("<iframe src=x>", True), ("<object data=x>", True),
+    ("<script>", False), ("<style>", False), ("<textarea>", False), ("<title>", False),
+])
+def test_parser_without_an_end_tag(tag, kept):
+    nodes = H.parse(f"<body><p>before</p>{tag}<p>after</p></body>")
+    lines = H.text_of(nodes, [H.own_blocks(n) for n in nodes], np.ones(len(nodes), bool)).split("\n")
+    assert [x for x in lines if x == "after"] == ["after"] * kept and lines[0] == "before"
+
+
+def test_parser_keeps_text_between_an_empty_svg_and_a_later_one():
+    nodes = H.parse("<body><svg width=1 /><p>one</p><svg><text>no</text></svg><p>two</p></body>")
+    assert H.text_of(nodes, [H.own_blocks(n) for n in nodes], np.ones(len(nodes), bool)).split("\n") == ["one", "two"]
+
+
+@pytest.mark.parametrize("name", ["noscript", "object", "svg", "template", "iframe"])
+def test_parser_keeps_text_between_an_unclosed_tag_and_a_closed_one(name):
+    nodes = H.parse(f"<body><{name}><p>one</p><{name}>no</{name}><p>two</p><script>'<{name}>'</script><p>three</p></body>")
+    assert H.text_of(nodes, [H.own_blocks(n) for n in nodes], np.ones(len(nodes), bool)).split("\n") == ["one", "two", "three"]
+
+
+def test_parser_drops_nested_objects_whole():
+    nodes = H.parse("<body><p>one</p><object>a<object>b</object>c</object><p>two</p></body>")
+    assert H.text_of(nodes, [H.own_blocks(n) for n in nodes], np.ones(len(nodes), bool)).split("\n") == ["one", "two"]
+
+
 def test_decoding_is_the_best_consistent_choice():
     rng = np.random.default_rng(3)
     for _ in range(40):
