@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import decontaminate, html_text, language, licenses, pieces, quality, sharding, simhash, toxicity, url_filter
+from rookery.llm import decontaminate, html_text, language, licenses, minhash, pieces, quality, sharding, simhash, toxicity, url_filter
 from rookery.llm.common import read
 
 
@@ -54,6 +54,10 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_pieces(read(spark, folder, "documents"), pieces.default_path())
 
 
+def op11_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_language": op9_language,
     "op10_pieces": op10_pieces,
+    "op11_minhash": op11_minhash,
 }
 
 ORACLE = {
