@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import decontaminate, html_text, language, licenses, minhash, pieces, quality, sharding, simhash, toxicity, url_filter
+from rookery.llm import decontaminate, html_text, language, licenses, minhash, pieces, quality, sharding, simhash, spelling, toxicity, url_filter
 from rookery.llm.common import read
 
 
@@ -58,6 +58,10 @@ def op11_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(read(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -70,6 +74,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_pieces": op10_pieces,
     "op11_minhash": op11_minhash,
+    "op12_spelling": op12_spelling,
 }
 
 ORACLE = {
