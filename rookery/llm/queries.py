@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import decontaminate, html_text, language, licenses, minhash, pieces, quality, sharding, simhash, spelling, toxicity, url_filter
+from rookery.llm import decontaminate, divergence, html_text, language, licenses, minhash, pieces, quality, sharding, simhash, spelling, toxicity, url_filter
 from rookery.llm.common import read
 
 
@@ -62,6 +62,10 @@ def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(read(spark, folder, "documents"))
 
 
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(read(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -75,6 +79,7 @@ QUERIES = {
     "op10_pieces": op10_pieces,
     "op11_minhash": op11_minhash,
     "op12_spelling": op12_spelling,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE = {
