@@ -119,6 +119,16 @@ def _f(p: Column, q: Column) -> Column:
     return _div((p - q) * (p - q), p + q)
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder when the session names one, so later uses do not recompute it."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        return df
+    spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def audit(docs: DataFrame, min_docs: int = 10, shard_keys: int = 4096, top: int = 10) -> DataFrame:
     """Rows lang, source, part ('pair' or 'term'), item, value long, rank int; see the module text."""
     base = docs.select(
@@ -140,11 +150,7 @@ def audit(docs: DataFrame, min_docs: int = 10, shard_keys: int = 4096, top: int
     langs = langs.withColumn("n_shards", F.floor(F.col("v") / shard_keys).cast("long") + 1)
     keyed = _hashes(kept.join(F.broadcast(langs), "lang")).withColumn("shard", F.pmod("_hh", F.col("n_shards")))
     placed = keyed.groupBy("lang", "shard").applyInPandas(_place, _PLACED)
-    spark = docs.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        spark.sparkContext.setCheckpointDir(folder)
-        placed = placed.checkpoint()
+    placed = _cut(placed)
     sizes = placed.groupBy("lang", "shard").agg(F.count("*").alias("m"))
     sizes = sizes.withColumn(
         "offset",
@@ -169,10 +175,11 @@ def audit(docs: DataFrame, min_docs: int = 10, shard_keys: int = 4096, top: int
         .where(F.col("stored") == F.col("term"))
         .select("lang", "source", "gslot", "cnt")
     )
+    dense = _cut(dense)  # five uses below; the texts are read and recounted once
 
     totals = dense.groupBy("lang", "source").agg(F.sum("cnt").alias("n"))
     group_n = groups.join(totals, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"))
-    group_n = group_n.join(langs.select("lang", "v"), "lang", "left").withColumn("v", F.coalesce("v", F.lit(0)))
+    group_n = _cut(group_n.join(langs.select("lang", "v"), "lang", "left").withColumn("v", F.coalesce("v", F.lit(0))))
     lang_counts = dense.groupBy("lang", "gslot").agg(F.sum("cnt").alias("lcnt"))
     lang_n = lang_counts.groupBy("lang").agg(F.sum("lcnt").alias("ln")).join(langs.select("lang", "v"), "lang")
 
