@@ -50,3 +50,11 @@ def test_one_pass_clocks_equal_two_passes(spark):
         for row in rows:
             assert row.new == row.old and row.new_last == row.old_last
             assert [tuple(x) for x in row.new_list or []] == [tuple(x) for x in row.old_list or []]
+
+
+def test_exports_parse_once(spark, small, monkeypatch):
+    seen = []
+    kept = catalog.sources.sinks.export_csv
+    monkeypatch.setattr(catalog.sources.sinks, "export_csv", lambda df, path: (seen.append(plan(df)), kept(df, path)))
+    catalog.queries()["export_games"](spark, small)
+    assert seen and "transform(sequence(" not in seen[0]
