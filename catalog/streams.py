@@ -17,7 +17,7 @@ def _streamed(spark, folder, late_first=False):
     early = F.unix_seconds("uploaded_at") < src.BATCH_SPLIT
     loads = (raw.filter(early), raw.filter(~early))
     for load in reversed(loads) if late_first else loads:
-        load.write.mode("append").parquet(landing)
+        load.write.mode("append").option("compression", "zstd").parquet(landing)
         refresh_stream.run_available(spark, landing, games, statistics, checkpoint)
     return games, statistics
 

@@ -112,7 +112,7 @@ def with_load_metadata(games: DataFrame, loaded_by: Column, uploaded_at: Column
 
 def append_raw_games(batch: DataFrame, path: str) -> None:
     """Append a stamped batch; columns the table lacks are allowed and show up on the next scan."""
-    batch.write.mode("append").parquet(path)
+    batch.write.mode("append").option("compression", "zstd").parquet(path)
 
 
 def plays(username: str) -> Column:

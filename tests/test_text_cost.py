@@ -58,3 +58,19 @@ def test_exports_parse_once(spark, small, monkeypatch):
     monkeypatch.setattr(catalog.sources.sinks, "export_csv", lambda df, path: (seen.append(plan(df)), kept(df, path)))
     catalog.queries()["export_games"](spark, small)
     assert seen and "transform(sequence(" not in seen[0]
+
+
+def test_archives_and_landings_are_compressed(spark, small, tmp_path):
+    from pathlib import Path
+
+    from rookery.session import shared_folder, stage
+    from rookery.sources import landing
+
+    before = set(Path(shared_folder(spark)).rglob("*.json*"))
+    catalog.queries()["flatten_raw_game"](spark, small)
+    written = {p for p in Path(shared_folder(spark)).rglob("*.json*") if not p.name.startswith(".")} - before
+    assert written and all(p.name.endswith(".json.gz") for p in written)
+    landing.append_raw_games(inputs.raw(spark, small).limit(5), str(tmp_path / "landing"))
+    assert list((tmp_path / "landing").glob("*.zstd.parquet"))
+    staged = stage(spark.range(3).toDF("i"), "three")
+    assert all(".zstd." in f for f in staged.inputFiles())
