@@ -89,13 +89,13 @@ def merge_upsert(
     order = [partition, *(cluster_by or keys)] if partition else []
     if not table_exists(spark, path):
         first = _sorted(source.repartitionByRange(*order) if order else source, order)
-        writer = first.write.mode("overwrite")
+        writer = first.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(partition) if partition else writer).parquet(path)
         return
     # files of different merges may differ in their columns
     target = spark.read.schema(schema).parquet(path) if schema else spark.read.option("mergeSchema", "true").parquet(path)
     if partition is None:
-        stage(merge_rows(target, source, keys, update, newest), "merged").write.mode("overwrite").parquet(path)
+        stage(merge_rows(target, source, keys, update, newest), "merged").write.mode("overwrite").option("compression", "zstd").parquet(path)
         return
 
     # Where each source row is stored already, if anywhere: the only scan of the stored keys.
@@ -111,6 +111,7 @@ def merge_upsert(
         _sorted(result, order)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
         .partitionBy(partition)
         .parquet(path)
     )

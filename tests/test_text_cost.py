@@ -74,3 +74,15 @@ def test_archives_and_landings_are_compressed(spark, small, tmp_path):
     assert list((tmp_path / "landing").glob("*.zstd.parquet"))
     staged = stage(spark.range(3).toDF("i"), "three")
     assert all(".zstd." in f for f in staged.inputFiles())
+
+
+def test_merged_tables_are_compressed(spark, tmp_path):
+    from rookery.operators import merge
+
+    rows = spark.createDataFrame([(1, 10, "a"), (2, 20, "b")], "k int, v int, p string")
+    for folder, partition in (("flat", None), ("parts", "p")):
+        path = str(tmp_path / folder)
+        for source in (rows, rows.withColumn("v", F.col("v") + 1)):
+            merge.merge_upsert(spark, path, source, ["k"], ["v"], partition)
+            assert all(".zstd." in f for f in spark.read.parquet(path).inputFiles())
+        assert sorted(r.v for r in spark.read.parquet(path).collect()) == [11, 21]
