@@ -86,3 +86,45 @@ def test_merged_tables_are_compressed(spark, tmp_path):
             merge.merge_upsert(spark, path, source, ["k"], ["v"], partition)
             assert all(".zstd." in f for f in spark.read.parquet(path).inputFiles())
         assert sorted(r.v for r in spark.read.parquet(path).collect()) == [11, 21]
+
+
+def test_tags_of_cut_texts_equal_those_of_whole_texts(spark):
+    texts = [
+        None, "", '"]', 'no tags 1. e4', '[A "x"]', '[A "x"] tail "] [B "y"', '[A "x [B "y"]\n[A ""]\n1. e4 [C "z"] e5 {[%clk 0:01]} *',
+        '[Ä "x"]\n[B\n"y"]\n\n1. e4 {[%clk 0:00:01]} 1... e5 {a "] b} 2. O-O 12x = =. .= {x} x{ é 3 %%% e8=Q', "  1. 2. 3.", "e4", "e4 1.", "1. e4\n\t* ",
+    ]
+    p = F.col("p")
+    rows = spark.createDataFrame([(t,) for t in texts], "p string")
+    for row in rows.select(
+        "p", mt.tag_names(p).alias("n"), mt.tag_values(p).alias("v"),
+        F.reverse(F.regexp_extract_all(p, F.lit(mt.TAG_PATTERN), F.lit(1))).alias("n0"),
+        F.reverse(F.regexp_extract_all(p, F.lit(mt.TAG_PATTERN), F.lit(2))).alias("v0"),
+    ).collect():
+        assert (row.n, row.v) == (row.n0, row.v0), row.p
+
+
+def test_record_texts_keep_their_wording(spark):
+    orders = spark.createDataFrame([(k, 1) for k in (41, 2399, 10**12 + 39, None)], "o_orderkey bigint, o_custkey bigint")
+    frame = inputs.order_archive.raw_games_from_orders(orders)
+    assert "lpad" not in plan(frame).split("transform(sequence(")[1].split("AS pgn")[0]
+    texts = {r.url: r.pgn and r.pgn.split("\n\n")[1] for r in frame.collect()}
+    assert texts.pop(None) is None
+    for url, text in texts.items():
+        k = int(url.rsplit("/")[-1])
+        n, words = 5 + k % 40, []
+        for i in range(1, n + 1):
+            white = "O-O" if i == 6 and k % 3 == 0 else "O-O-O" if i == 7 and k % 5 == 1 else "e8=Q" if i == 40 else "Nf3"
+            black = "O-O" if i == 6 and k % 4 == 0 else "O-O-O" if i == 8 and k % 5 == 2 else "d1=N" if i == 42 else "Nc6"
+            clocks = [f"{{[%clk 0:0{max(0, 4 - i // 9)}:{(i * 7 + k // 40 + o) % 60:02}{'.5' if i % 2 == 0 else ''}]}}" for o in (0, 13)]
+            words.append(f"{i}. {white} {clocks[0]}" + ("" if i == n and k % 2 else f" {i}... {black} {clocks[1]}"))
+        assert text == " ".join(words) + " *", k
+
+
+def test_complete_rows_read_no_clocks_and_equal_the_old_test(spark, small):
+    query = plan(catalog.queries()["win_rate_by_eco"](spark, small))
+    assert "CASE WHEN" in query and mt.CLOCK_PATTERN not in query
+    clean = inputs.clean(spark, small)
+    others = [c for c in parsed_games.COMPLETE_COLUMNS if c not in parsed_games.TIME_COLUMNS]
+    old = clean.filter(parsed_games.rows.all_not_null(others)).na.drop("any", subset=parsed_games.TIME_COLUMNS)
+    new = parsed_games.drop_any_null(clean)
+    assert old.count() == new.count() > 0 and old.exceptAll(new).isEmpty()
