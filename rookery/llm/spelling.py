@@ -33,6 +33,8 @@ ALPHABET = np.array([ord(c) for c in "abcdefghijklmnopqrstuvwxyz"] + list(range(
 
 BITS_PER_WORD, PROBES = 24, 5
 SHARD_BYTES, PASS_BYTES = 32 << 20, 128 << 20
+#: Words whose edits one task probes.
+WORDS_PER_TASK = 40_000
 ship(__name__)
 
 _BASE = np.uint64(0x100000001B3)  # odd, so that it has an inverse modulo 2**64
@@ -57,9 +59,12 @@ def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def _mix(x: np.ndarray) -> np.ndarray:
     """SplitMix64's finaliser, element-wise on uint64."""
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        x = x ^ (x >> np.uint64(30))
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return x
 
 
 def _codes(batch: list[str], length: int) -> np.ndarray:
@@ -75,10 +80,14 @@ def _hash(codes: np.ndarray) -> np.ndarray:
         return (codes * powers).sum(axis=1, dtype=np.uint64)
 
 
+def _key(h: np.ndarray, length: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mix(h ^ (np.uint64(length) * np.uint64(0x9E3779B97F4A7C15)))
+
+
 def _place(h: np.ndarray, length: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The key (whose bits choose shard and block) and the bit positions in the block of hashes ``h`` of ``length`` code points."""
-    with np.errstate(over="ignore"):
-        key = _mix(h ^ (np.uint64(length) * np.uint64(0x9E3779B97F4A7C15)))
+    key = _key(h, length)
     second = _mix(key)
     return key, [((second >> np.uint64(9 * j)) & np.uint64(_BLOCK - 1)) for j in range(PROBES)]
 
@@ -134,19 +143,24 @@ def _probe(vocabulary: DataFrame, plan: dict[int, tuple[int, int]], shards: list
         if length not in plan:
             return hit.reshape(h.shape), hit
         parts, blocks = plan[length]
-        key, bits = _place(flat, length)
-        part = ((key >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
-        block = ((key >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
-        for p in np.unique(part):
-            if (length, int(p)) not in wanted:
+        key = _key(flat, length)
+        part = None if parts == 1 else ((key >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
+        for p in range(parts):
+            if (length, p) not in wanted:
                 continue
-            table = filters.value[(length, int(p))]
-            rows = part == p
-            ok = np.ones(int(rows.sum()), dtype=bool)
-            for b in bits:
-                lane = table[block[rows] * 8 + (b[rows] >> np.uint64(6)).astype(np.int64)]
-                ok &= (lane >> (b[rows] & np.uint64(63))) & np.uint64(1) == np.uint64(1)
-            hit[np.flatnonzero(rows)[ok]] = True
+            table = filters.value[(length, p)]
+            at = None if part is None else np.flatnonzero(part == p)
+            own = key if at is None else key[at]
+            lane0 = ((own >> np.uint64(32)) % np.uint64(blocks)) << np.uint64(3)
+            second = _mix(own)
+            # each bit is looked up only for those whose bits before it are set
+            for j in range(PROBES):
+                b = second >> np.uint64(9 * j)
+                lane = table[(lane0 + ((b >> np.uint64(6)) & np.uint64(7))).view(np.int64)]
+                left = np.flatnonzero((lane >> (b & np.uint64(63))) & np.uint64(1))
+                at = left if at is None else at[left]
+                lane0, second = lane0[left], second[left]
+            hit[at] = True
         return hit.reshape(h.shape), hit
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,7 +186,13 @@ def _probe(vocabulary: DataFrame, plan: dict[int, tuple[int, int]], shards: list
             if found_w:
                 yield pd.DataFrame({"word": found_w, "candidate": found_c})
 
-    return vocabulary.select("word").mapInPandas(run, "word string, candidate string")
+    return spread(vocabulary, sum(parts * blocks for parts, blocks in plan.values())).mapInPandas(run, "word string, candidate string")
+
+
+def spread(vocabulary: DataFrame, blocks: int) -> DataFrame:
+    """The words alone, at most about ``WORDS_PER_TASK`` to a task, whose probing is what costs time."""
+    tasks = max(vocabulary.sparkSession.sparkContext.defaultParallelism, math.ceil(blocks * _BLOCK / BITS_PER_WORD / WORDS_PER_TASK))
+    return vocabulary.select("word").repartition(tasks, "word")
 
 
 def plan_filters(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:

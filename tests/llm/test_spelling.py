@@ -75,3 +75,19 @@ def test_filter_passes_and_shards(spark, small, monkeypatch):
 
 def test_empty_table(spark, no_docs):
     assert spelling.variants(no_docs).count() == 0
+
+
+def test_probing_tasks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "WORDS_PER_TASK", 50)
+    vocabulary = spark.range(2000).selectExpr("concat('wordnumber', id) AS word").coalesce(1)
+    parts = spelling.spread(vocabulary, spelling.plan_filters({14: 2000})[14][1]).rdd.glom().map(len).collect()
+    assert len(parts) >= 40 and max(parts) <= 150 and sum(parts) == 2000
+
+
+def test_later_bits_are_looked_up_only_for_those_left(spark):
+    import inspect
+
+    assert "_place(" not in inspect.getsource(spelling._probe)
+    vocabulary = spark.createDataFrame([("abcdefg", 2), ("abcdefgh", 30), ("xbcdefg", 5), ("zzzzzzzz", 9)], "word string, n long")
+    found = sorted((r.word, r.near, r.near_n) for r in spelling.near_pairs(vocabulary).collect())
+    assert found == [("abcdefg", "abcdefgh", 30), ("abcdefg", "xbcdefg", 5), ("abcdefgh", "abcdefg", 2), ("xbcdefg", "abcdefg", 2)]
