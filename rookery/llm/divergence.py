@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rookery.llm.common import lower_ascii, ship
+from rookery.session import stage
 
 ship(__name__)
 
@@ -119,16 +120,6 @@ def _f(p: Column, q: Column) -> Column:
     return _div((p - q) * (p - q), p + q)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder when the session names one, so later uses do not recompute it."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        return df
-    spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def audit(docs: DataFrame, min_docs: int = 10, shard_keys: int = 4096, top: int = 10) -> DataFrame:
     """Rows lang, source, part ('pair' or 'term'), item, value long, rank int; see the module text."""
     base = docs.select(
@@ -146,20 +137,24 @@ def audit(docs: DataFrame, min_docs: int = 10, shard_keys: int = 4096, top: int
         .where(F.col("n_docs") >= min_docs)
         .select("lang", "term")
     )
+    kept = stage(kept, "divergence_kept")
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"))
     langs = langs.withColumn("n_shards", F.floor(F.col("v") / shard_keys).cast("long") + 1)
     keyed = _hashes(kept.join(F.broadcast(langs), "lang")).withColumn("shard", F.pmod("_hh", F.col("n_shards")))
     placed = keyed.groupBy("lang", "shard").applyInPandas(_place, _PLACED)
-    placed = _cut(placed)
+    placed = stage(placed, "divergence_placed")
     sizes = placed.groupBy("lang", "shard").agg(F.count("*").alias("m"))
     sizes = sizes.withColumn(
         "offset",
         F.coalesce(F.sum("m").over(Window.partitionBy("lang").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     ).withColumn("n_buckets", F.greatest(F.lit(1), F.floor((F.col("m") + 1) / 2)).cast("long"))
-    displacement = placed.select("lang", "shard", "bucket", "d").distinct()
+    # tables of known size: where they are small the recount is looked up without a shuffle of its own
+    sizes = stage(sizes, "divergence_sizes")
+    displacement = stage(placed.select("lang", "shard", "bucket", "d").distinct(), "divergence_displacement")
     stored = placed.join(sizes, ["lang", "shard"]).select(
         "lang", "shard", "slot", F.col("term").alias("stored"), (F.col("offset") + F.col("slot")).alias("gslot")
     )
+    stored = stage(stored, "divergence_stored")
 
     # pass 2: recount through the perfect hashes, verified against the stored keys
     counts = base.select("lang", "source", F.explode("terms").alias("term")).groupBy("lang", "source", "term").agg(
@@ -173,26 +168,31 @@ def audit(docs: DataFrame, min_docs: int = 10, shard_keys: int = 4096, top: int
     dense = (
         probe.join(stored, ["lang", "shard", "slot"])
         .where(F.col("stored") == F.col("term"))
-        .select("lang", "source", "gslot", "cnt")
+        .select("lang", "source", "gslot", "term", "cnt")
     )
-    dense = _cut(dense)  # five uses below; the texts are read and recounted once
+    dense = stage(dense, "divergence_dense")  # the texts are read and recounted once
 
     totals = dense.groupBy("lang", "source").agg(F.sum("cnt").alias("n"))
     group_n = groups.join(totals, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"))
-    group_n = _cut(group_n.join(langs.select("lang", "v"), "lang", "left").withColumn("v", F.coalesce("v", F.lit(0))))
-    lang_counts = dense.groupBy("lang", "gslot").agg(F.sum("cnt").alias("lcnt"))
-    lang_n = lang_counts.groupBy("lang").agg(F.sum("lcnt").alias("ln")).join(langs.select("lang", "v"), "lang")
+    group_n = stage(group_n.join(langs.select("lang", "v"), "lang", "left").withColumn("v", F.coalesce("v", F.lit(0))), "divergence_groups")
+    lang_n = group_n.groupBy("lang").agg(F.sum("n").alias("ln"), F.max("v").alias("v"))
 
-    # part term
-    tv = (
+    # one row per slot: p of every source that has the term, computed once, and the count of the language
+    slots = (
         dense.join(group_n, ["lang", "source"])
-        .join(lang_counts, ["lang", "gslot"])
-        .join(lang_n.select("lang", "ln"), "lang")
         .withColumn("p", _p(F.col("cnt"), F.col("n"), F.col("v")))
+        .groupBy("lang", "gslot", "term")
+        .agg(F.sum("cnt").alias("lcnt"), F.collect_list(F.struct("source", "p")).alias("found"))
+    )
+    slots = stage(slots, "divergence_slots")
+
+    # part term
+    tv = (
+        slots.join(lang_n, "lang")
         .withColumn("q", _p(F.col("lcnt"), F.col("ln"), F.col("v")))
+        .select("lang", F.col("term").alias("item"), "q", F.inline("found"))
         .where(F.col("p") > F.col("q"))
         .withColumn("value", _f(F.col("p"), F.col("q")))
-        .join(stored.select("lang", "gslot", F.col("stored").alias("item")), ["lang", "gslot"])
     )
     tw = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.encode("item", "UTF-8").asc())
     term_part = (
@@ -201,22 +201,30 @@ def audit(docs: DataFrame, min_docs: int = 10, shard_keys: int = 4096, top: int
         .select("lang", "source", F.lit("term").alias("part"), "item", "value", F.col("rank").cast("int"))
     )
 
-    # part pair: terms present in either source, then the terms absent from both at once
+    # part pair: terms that source a has, summed per pair before any shuffle; f is symmetric, so the terms that only b
+    # has are those of the pair (b, a) that a lacks; then the terms absent from both at once
     a = group_n.select("lang", F.col("source").alias("a"), F.col("n").alias("na"), "v")
     b = group_n.select("lang", F.col("source").alias("b"), F.col("n").alias("nb"))
     pairs = a.join(b, "lang").where(F.col("a") != F.col("b"))
-    keys = pairs.select("lang", "a", "b")
-    side_a = dense.select("lang", F.col("source").alias("a"), "gslot", F.col("cnt").alias("ca"), F.lit(None).cast("long").alias("cb"))
-    side_b = dense.select("lang", F.col("source").alias("b"), "gslot", F.lit(None).cast("long").alias("ca"), F.col("cnt").alias("cb"))
-    present = (
-        side_a.join(keys, ["lang", "a"]).select("lang", "a", "b", "gslot", "ca", "cb")
-        .unionByName(side_b.join(keys, ["lang", "b"]).select("lang", "a", "b", "gslot", "ca", "cb"))
-        .groupBy("lang", "a", "b", "gslot")
-        .agg(F.coalesce(F.max("ca"), F.lit(0)).alias("ca"), F.coalesce(F.max("cb"), F.lit(0)).alias("cb"))
-        .join(pairs, ["lang", "a", "b"])
-        .withColumn("f", _f(_p(F.col("ca"), F.col("na"), F.col("v")), _p(F.col("cb"), F.col("nb"), F.col("v"))))
+    without = pairs.where(F.col("v") > 0).select("lang", "a", "b", _p(F.lit(0), F.col("nb"), F.col("v")).alias("p0"))
+    pb = F.try_element_at("ps", F.col("b"))
+    one_sided = (
+        slots.select("lang", F.map_from_entries("found").alias("ps"), F.explode("found").alias("e"))
+        .select("lang", F.col("e.source").alias("a"), F.col("e.p").alias("pa"), "ps")
+        .join(without, ["lang", "a"])
+        .select("lang", "a", "b", pb.isNull().alias("lacks"), _f(F.col("pa"), F.coalesce(pb, F.col("p0"))).alias("f"))
         .groupBy("lang", "a", "b")
-        .agg(F.sum("f").alias("fs"), F.count("*").alias("u"))
+        .agg(
+            F.sum("f").alias("f_a"), F.count("*").alias("u_a"),
+            F.coalesce(F.sum(F.when(F.col("lacks"), F.col("f"))), F.lit(0)).alias("f_only"), F.count_if("lacks").alias("u_only"),
+        )
+    )
+    one_sided = stage(one_sided, "divergence_pairs")
+    other = one_sided.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "f_only", "u_only")
+    present = one_sided.drop("f_only", "u_only").join(other, ["lang", "a", "b"], "full").select(
+        "lang", "a", "b",
+        (F.coalesce("f_a", F.lit(0)) + F.coalesce("f_only", F.lit(0))).alias("fs"),
+        (F.coalesce("u_a", F.lit(0)) + F.coalesce("u_only", F.lit(0))).alias("u"),
     )
     absent = _f(_p(F.lit(0), F.col("na"), F.col("v")), _p(F.lit(0), F.col("nb"), F.col("v")))
     pv = pairs.join(present, ["lang", "a", "b"], "left").withColumn(

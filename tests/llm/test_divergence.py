@@ -84,3 +84,14 @@ def test_odd_and_empty_inputs(spark, odd_docs, no_docs):
 def test_perfect_hash_is_minimal_and_verified(spark, shard_keys):
     rows = [(f"w{i} w{i + 1} common", "en", "s") for i in range(40)] * 2
     assert run(spark, rows, min_docs=2, shard_keys=shard_keys) == brute(rows, min_docs=2)
+
+
+def test_pairs_are_summed_before_the_shuffle(spark, monkeypatch):
+    staged = {}
+    kept = divergence.stage
+    monkeypatch.setattr(divergence, "stage", lambda df, name: staged.setdefault(name, (df._jdf.queryExecution().optimizedPlan().toString(), kept(df, name)))[1])
+    rows = [("en", f"s{i % 3}", " ".join(["alpha"] * (i % 4 + 1) + ["beta"] * (i % 2) + ["gamma"] * (i % 3))) for i in range(60)]
+    divergence.audit(spark.createDataFrame(rows, "lang string, source string, text string")).collect()
+    plan, pairs = staged["divergence_pairs"]
+    assert plan.count("Aggregate [lang") == plan.count("Aggregate") == 1 and "Scan" not in plan.split("Aggregate")[0]
+    assert pairs.count() == 6 and staged["divergence_slots"][1].count() == 3
