@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import string
 import sys
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,42 @@ def count_of(text: Column, characters: str) -> Column:
     return F.regexp_count(text, F.lit(f"[{characters}]")).cast("long")
 
 
+def token_table(outside: Iterable[int]) -> bytes:
+    """For ``tokens``: A-Z lower-cased, the bytes ``outside`` of tokens as blanks, every other byte as it is."""
+    table = bytearray(range(256))
+    table[65:91] = range(97, 123)
+    for byte in outside:
+        table[byte] = 32
+    return bytes(table)
+
+
+def tokens(texts: pa.StringArray, table: bytes, limit: int = 4 << 20) -> Iterator[tuple[int, int, pa.BinaryArray, np.ndarray]]:
+    """(first, last, tokens, counts) per slice of rows ``first:last`` of about ``limit`` bytes, in a task.
+
+    ``tokens`` are all runs of bytes that ``table`` does not turn into blanks, row after row; ``counts`` says how many
+    each row has (a null has none). Separators are ASCII, so a token of valid UTF-8 is valid.
+    """
+    texts = texts.fill_null("")
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = memoryview(texts.buffers()[2] or b"")
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + limit, "right")) - 1)
+        chars = np.frombuffer(bytes(data[ends[first] : ends[last]]).translate(table), np.uint8)
+        bounds = ends[first : last + 1] - ends[first]
+        inside = chars != 32
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        heads = bounds[bounds < len(chars)]
+        begins[heads] = inside[heads]
+        starts = np.flatnonzero(begins)
+        kept = chars[inside]
+        offsets = np.append(np.cumsum(inside, dtype=np.int32)[starts] - 1, len(kept)).astype(np.int32)
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+        yield first, last, words, np.diff(np.searchsorted(starts, bounds))
+        first = last
+
+
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

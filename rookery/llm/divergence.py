@@ -2,16 +2,17 @@
 
 Method (minimal-perfect-hash recount):
 
-1. Exact frequency filter: every term is counted once per document row, per language; a language keeps the terms
-   found in at least ``min_docs`` of its rows (V of them). Partial aggregation runs before the shuffle.
+1. Exact frequency filter: the texts are read once. A task cuts them into terms and counts, per (lang, source, term),
+   occurrences and document rows; the partial counts are summed before and after one shuffle and staged. A language
+   keeps the terms found in at least ``min_docs`` of its rows (V of them).
 2. The kept terms of a language are cut into shards of about ``shard_keys`` keys (shard = hash of the term). Each shard
    gets a minimal perfect hash built by hash-and-displace in its own task (``applyInPandas``): keys are put in
    buckets, and each bucket, largest first, gets the smallest displacement ``d`` that sends all its keys to free,
    distinct slots ``pmod(x XOR (x >>> 31), m)`` with ``x = hs XOR (hd >>> 33) * d``. The shard keeps the displacement per bucket and the key stored
    in every slot. A shard's slots follow its predecessors' in the language, so the slots of a language are 0..V-1.
-3. Recount: all terms are counted per (lang, source) with partial aggregation, looked up through the displacement
-   table, and verified against the stored key of their slot; unkept terms fail the check and drop out. What is left
-   are the non-zero dense slots of each group.
+3. Recount: the counts of all terms per (lang, source) are looked up through the displacement of their bucket, kept
+   together with the stored keys of the slots that bucket filled, and verified against the stored key of their slot;
+   unkept terms fail the check and drop out. What is left are the non-zero dense slots of each group.
 
 Scoring, all in exact integers (decimal(38,0) where a product could pass a long):
 ``p = 1 + floor(1e9 * (count + 2) / (N + 2V))`` and ``f = floor((p - q)^2 / (p + q))``. The ``pair`` part adds f over
@@ -26,29 +27,58 @@ gives no rows. Extra input columns are ignored. Ties in value are broken by the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rookery.llm.common import lower_ascii, ship
+from rookery.llm.common import ship, token_table, tokens
 from rookery.session import stage
 
 ship(__name__)
 
-# fixed values: the term pattern of the contract, the scale of p, the smoothing added to counts
-NON_TERMS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+# fixed values: the bytes between terms of the contract, the scale of p, the smoothing added to counts
+NON_TERMS = [*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
 SCALE = 1000000000
 SMOOTH = 2
 
 _PLACED = "lang string, shard long, slot long, term string, bucket long, d long"
-_SEARCH = 4096
+_COUNTED = "lang string, source string, term string, cnt long, n_docs long"
+_TABLE = token_table(NON_TERMS)
+_FIRST_SEARCH, _SEARCH = 32, 4096
 _MAX_D = 1 << 24
 
 
-def terms(text: Column) -> Column:
-    """Terms of the contract, A-Z lower-cased; an empty array for null."""
-    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NON_TERMS), "")
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per slice of rows (lang, source, text): occurrences and rows of each (lang, source, term)."""
+    for batch in batches:
+        langs, sources = (batch.column(name).dictionary_encode() for name in ("lang", "source"))
+        many = len(sources.dictionary)
+        group = langs.indices.to_numpy().astype(np.int64) * many + sources.indices.to_numpy()
+        for first, last, words, counts in tokens(batch.column("text"), _TABLE):
+            coded = words.dictionary_encode()
+            size = len(coded.dictionary)
+            if not size:
+                continue
+            own = np.repeat(np.arange(last - first, dtype=np.int64), counts) * size + coded.indices.to_numpy()
+            pairs, times = np.unique(own, return_counts=True)
+            row, term = np.divmod(pairs, size)
+            key = group[first:last][row] * size + term
+            order = np.argsort(key)
+            key = key[order]
+            heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            of_group, term = np.divmod(key[heads], size)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    langs.dictionary.take(pa.array(of_group // many)), sources.dictionary.take(pa.array(of_group % many)),
+                    coded.dictionary.take(pa.array(term)).view(pa.string()),
+                    pa.array(np.add.reduceat(times[order], heads)), pa.array(np.diff(np.append(heads, len(key)))),
+                ],
+                names=["lang", "source", "term", "cnt", "n_docs"],
+            )
 
 
 def _hashes(df: DataFrame) -> DataFrame:
@@ -76,8 +106,9 @@ def _place(frame: pd.DataFrame) -> pd.DataFrame:
     groups = np.split(order, starts[1:])
     groups.sort(key=lambda g: (-len(g), bucket[g[0]]))
     for keys in groups:
-        for first in range(0, _MAX_D, _SEARCH):
-            d = np.arange(first, first + _SEARCH, dtype=np.int64)
+        first, width = 0, _FIRST_SEARCH  # most keys are placed by one of the first few
+        while first < _MAX_D:
+            d = np.arange(first, first + width, dtype=np.int64)
             mixed = np.bitwise_xor(hs[keys, None], hd[keys, None] * d[None, :])
             folded = np.bitwise_xor(mixed, (mixed.view(np.uint64) >> np.uint64(31)).view(np.int64))
             cand = np.mod(folded, m)
@@ -91,6 +122,7 @@ def _place(frame: pd.DataFrame) -> pd.DataFrame:
                 taken[cand[:, pick]] = True
                 disp[keys] = d[pick]
                 break
+            first, width = first + width, min(8 * width, _SEARCH)
         else:
             raise ValueError(f"no displacement found for {len(keys)} keys of a shard of {m}")
     return pd.DataFrame(
@@ -123,17 +155,20 @@ def _f(p: Column, q: Column) -> Column:
 def audit(docs: DataFrame, min_docs: int = 10, shard_keys: int = 4096, top: int = 10) -> DataFrame:
     """Rows lang, source, part ('pair' or 'term'), item, value long, rank int; see the module text."""
     base = docs.select(
-        F.coalesce(F.col("lang"), F.lit("")).alias("lang"),
-        F.coalesce(F.col("source"), F.lit("")).alias("source"),
-        terms(F.col("text")).alias("terms"),
+        F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.coalesce(F.col("source"), F.lit("")).alias("source"), "text"
     )
     groups = base.groupBy("lang", "source").agg(F.lit(1).alias("_one")).drop("_one")
 
-    # pass 1: exact document frequency per language
+    # the texts are read and counted once
+    counts = base.mapInArrow(_count, _COUNTED).groupBy("lang", "source", "term").agg(
+        F.sum("cnt").alias("cnt"), F.sum("n_docs").alias("n_docs")
+    )
+    counts = stage(counts, "divergence_counts")
+
+    # exact document frequency per language
     kept = (
-        base.select("lang", F.explode(F.array_distinct("terms")).alias("term"))
-        .groupBy("lang", "term")
-        .agg(F.count("*").alias("n_docs"))
+        counts.groupBy("lang", "term")
+        .agg(F.sum("n_docs").alias("n_docs"))
         .where(F.col("n_docs") >= min_docs)
         .select("lang", "term")
     )
@@ -150,27 +185,24 @@ def audit(docs: DataFrame, min_docs: int = 10, shard_keys: int = 4096, top: int
     ).withColumn("n_buckets", F.greatest(F.lit(1), F.floor((F.col("m") + 1) / 2)).cast("long"))
     # tables of known size: where they are small the recount is looked up without a shuffle of its own
     sizes = stage(sizes, "divergence_sizes")
-    displacement = stage(placed.select("lang", "shard", "bucket", "d").distinct(), "divergence_displacement")
-    stored = placed.join(sizes, ["lang", "shard"]).select(
-        "lang", "shard", "slot", F.col("term").alias("stored"), (F.col("offset") + F.col("slot")).alias("gslot")
+    # per bucket its displacement and the stored keys of the slots it filled: a kept term can only lie in one of these
+    buckets = placed.join(sizes, ["lang", "shard"]).groupBy("lang", "shard", "bucket").agg(
+        F.any_value("d").alias("d"), F.any_value("m").alias("m"), F.any_value("offset").alias("offset"),
+        F.map_from_entries(F.collect_list(F.struct("slot", "term"))).alias("stored"),
     )
-    stored = stage(stored, "divergence_stored")
+    buckets = stage(buckets, "divergence_buckets")
 
-    # pass 2: recount through the perfect hashes, verified against the stored keys
-    counts = base.select("lang", "source", F.explode("terms").alias("term")).groupBy("lang", "source", "term").agg(
-        F.count("*").alias("cnt")
-    )
-    probe = _hashes(counts.join(F.broadcast(langs.select("lang", "n_shards")), "lang"))
-    probe = probe.withColumn("shard", F.pmod("_hh", F.col("n_shards"))).join(sizes, ["lang", "shard"])
-    probe = probe.withColumn("bucket", F.pmod("_hb", F.col("n_buckets"))).join(displacement, ["lang", "shard", "bucket"])
+    # recount through the perfect hashes, verified against the stored keys
+    probe = _hashes(counts.drop("n_docs").join(F.broadcast(langs.select("lang", "n_shards")), "lang"))
+    probe = probe.withColumn("shard", F.pmod("_hh", F.col("n_shards"))).join(sizes.select("lang", "shard", "n_buckets"), ["lang", "shard"])
+    probe = probe.withColumn("bucket", F.pmod("_hb", F.col("n_buckets"))).join(buckets, ["lang", "shard", "bucket"])
     mixed = F.col("_hs").bitwiseXOR(F.col("_hd") * F.col("d"))
     probe = probe.withColumn("slot", F.pmod(mixed.bitwiseXOR(F.shiftrightunsigned(mixed, 31)), F.col("m")))
     dense = (
-        probe.join(stored, ["lang", "shard", "slot"])
-        .where(F.col("stored") == F.col("term"))
-        .select("lang", "source", "gslot", "term", "cnt")
+        probe.where(F.try_element_at("stored", F.col("slot")) == F.col("term"))
+        .select("lang", "source", (F.col("offset") + F.col("slot")).alias("gslot"), "term", "cnt")
     )
-    dense = stage(dense, "divergence_dense")  # the texts are read and recounted once
+    dense = stage(dense, "divergence_dense")
 
     totals = dense.groupBy("lang", "source").agg(F.sum("cnt").alias("n"))
     group_n = groups.join(totals, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from rookery.llm import divergence
+from rookery.llm.common import token_table, tokens
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -95,3 +97,31 @@ def test_pairs_are_summed_before_the_shuffle(spark, monkeypatch):
     plan, pairs = staged["divergence_pairs"]
     assert plan.count("Aggregate [lang") == plan.count("Aggregate") == 1 and "Scan" not in plan.split("Aggregate")[0]
     assert pairs.count() == 6 and staged["divergence_slots"][1].count() == 3
+
+
+def test_texts_are_read_once(spark, tmp_path, monkeypatch):
+    plans = []
+    kept = divergence.stage
+
+    def staged(df, name):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(divergence, "stage", staged)
+    rows = [("en", f"s{i % 2}", "alpha Beta " * (i % 3) + "gamma") for i in range(30)]
+    spark.createDataFrame(rows, "lang string, source string, text string").write.parquet(f"{tmp_path}/docs")
+    found = divergence.audit(spark.read.parquet(f"{tmp_path}/docs"))
+    assert sorted(tuple(r) for r in found.collect()) == brute([(t, lang, s) for lang, s, t in rows])
+    plans.append(found._jdf.queryExecution().sparkPlan().toString())
+    assert sum(len(re.findall(r"FileScan parquet \[[^\]]*\btext#", p)) for p in plans) == 1
+
+
+def test_tokens_of_sliced_columns():
+    texts = pa.array(["left out", "Ab  cD", None, "", "  ", "é\x00x", "end", "next"]).slice(1)
+    for limit in (1, 5, 1 << 20):
+        found = []
+        for first, last, words, counts in tokens(texts, token_table([9, 32]), limit):
+            words = iter(words.to_pylist())
+            found += [[next(words).decode() for _ in range(n)] for n in counts]
+            assert len(counts) == last - first and next(words, None) is None
+        assert found == [["ab", "cd"], [], [], [], ["é\x00x"], ["end"], ["next"]]
