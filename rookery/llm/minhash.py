@@ -2,14 +2,14 @@
 
 C-MinHash (Li and Li, 2021) needs two permutations of the shingle universe, not one per coordinate: ``sigma``
 spreads the shingle ids once, and coordinate ``k`` is the least ``pi((sigma(x) + k) mod 2**32)`` over the set, so
-``pi`` is shifted circularly by ``k``. The universe is the low 32 bits of a shingle's XXH64; both permutations are
-bijections on it (odd multipliers below 2**31 and xor-shifts, so that no product leaves a long). The coordinates are
-minima of an aggregate over exploded shingles, in generated code; partial aggregation folds each set in its own
-task, so only ``BANDS * ROWS`` longs per set cross the shuffle.
+``pi`` is shifted circularly by ``k``. The universe is the low 32 bits of a shingle's 64-bit hash; both permutations are
+bijections on it (odd multipliers modulo 2**32 and xor-shifts). A task makes a text's set, its digest and its band
+keys at once and passes on only the latter two, so no set is written or shuffled before it is known to have mates.
 
 Documents with equal shingle sets are one node from the start; empty sets are nodes of their own and link with
 nothing. Nodes are bucketed on every band of ``ROWS`` coordinates. Buckets with the same members are verified once.
-A crowded bucket is cut into chunks by summed set size; every pair of chunks is one task, which checks pairs on the
+The texts of members of shared buckets are read again, and only these go on, as texts. A crowded bucket is cut into
+chunks by summed set size; every pair of chunks is one task, which makes the sets and checks pairs on the
 full sets (``100 * |A & B| >= 80 * |A | B|``) and returns a spanning forest of its verified links: a pair already
 joined in that task is not checked again, and no pair list is ever written. Components are alternating stars.
 
@@ -19,14 +19,17 @@ probability 7e-5, at 0.85 with 8e-7, and a missed pair still joins through any t
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from rookery.llm.common import lower_ascii, ship, space_words
+from rookery.llm.common import ship, token_table, tokens
 from rookery.llm.simhash import components
 from rookery.session import stage
 
@@ -41,43 +44,116 @@ _MASK = (1 << 32) - 1
 # Odd multipliers below 2**31 (Murmur2 and Lowbias32-style constants) and shift widths.
 _SIGMA = (0x45D9F3B, 16, 0x2C1B3C6D, 15)
 _PI = (0x5BD1E995, 15, 0x27D4EB2F, 13)
+# odd multipliers modulo 2**64: words of a shingle, the finish of its hash, coordinates of a band
+_WORDS, _FINISH, _KEYS = 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC2B2AE3D27D4EB4F
+_TABLE = token_table([32, *range(9, 14)])
+#: Shingles of a set whose coordinates are made at once.
+_AT_ONCE = 2048
 
 
-def _permute(v: Column, keys: tuple[int, int, int, int]) -> Column:
-    """A bijection of ``[0, 2**32)``: multiply by an odd number, xor-shift, multiply, xor-shift; all products fit a long."""
+def _permute(v: np.ndarray, keys: tuple[int, int, int, int]) -> np.ndarray:
+    """A bijection of ``[0, 2**32)`` in place: multiply by an odd number, xor-shift, multiply, xor-shift."""
     first, shift_a, second, shift_b = keys
-    v = (v * F.lit(first)).bitwiseAND(F.lit(_MASK))
-    v = v.bitwiseXOR(F.shiftright(v, shift_a))
-    v = (v * F.lit(second)).bitwiseAND(F.lit(_MASK))
-    return v.bitwiseXOR(F.shiftright(v, shift_b))
+    v *= np.uint32(first)
+    v ^= v >> np.uint32(shift_a)
+    v *= np.uint32(second)
+    v ^= v >> np.uint32(shift_b)
+    return v
+
+
+def _sets(texts: pa.StringArray, shingle: int) -> Iterator[np.ndarray]:
+    """The sorted distinct 64-bit shingle hashes of each text of a task's batch, empty for no words."""
+    for first, last, words, counts in tokens(texts, _TABLE):
+        coded = words.dictionary_encode()
+        known = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), dtype=object), categorize=False) if len(words) else np.zeros(0, np.uint64)
+        hashed = np.append(known[coded.indices.to_numpy()] | np.uint64(1), np.zeros(shingle, np.uint64))
+        ends = np.cumsum(counts)
+        left = np.repeat(ends, counts) - np.arange(len(words))  # words from here to the end of the text
+        mixed = np.zeros(len(words), np.uint64)
+        for k in range(shingle):
+            mixed = mixed * np.uint64(_WORDS) + np.where(left > k, hashed[k : k + len(words)], np.uint64(0))
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(_FINISH)
+        mixed = (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+        for end, n in zip(ends.tolist(), counts.tolist()):
+            yield np.unique(mixed[end - n : end - min(n, shingle) + 1] if n else mixed[:0])
+
+
+def _digest(found: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
+
+
+def _band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One bucket key per band of ``rows`` circulant MinHash coordinates."""
+    low = (found ^ (found.view(np.uint64) >> np.uint64(32)).view(np.int64)).astype(np.uint32)
+    spread = _permute(low, _SIGMA)
+    shifts = np.arange(bands * rows, dtype=np.uint32)[:, None]
+    least = np.full(bands * rows, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(spread), _AT_ONCE):
+        np.minimum(least, _permute(spread[None, at : at + _AT_ONCE] + shifts, _PI).min(axis=1), out=least)
+    key = np.arange(1, bands + 1, dtype=np.uint64)
+    for r in range(rows):
+        key = (key ^ (key >> np.uint64(29))) * np.uint64(_KEYS) + least[r::rows]
+    return key.view(np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays or [np.zeros(0, np.int64)])))
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, set, node) per row: the sorted distinct XXH64 of its word shingles and a key of that set.
+    """(id, n_shingles, set, node) per row: the sorted distinct 64-bit hashes of its word shingles and a key of that set.
 
     Words are A-Z lower-cased runs between white space of the whole text; fewer words than a shingle make one
-    shingle of all; no words (or a null text) make the empty set, whose node is null. ``node`` is two 64-bit hashes
-    of the set and its size; sets equal in them are taken as equal (a false match needs a 2**-128 collision).
+    shingle of all; no words (or a null text) make the empty set, whose node is null. ``node`` is a 128-bit digest
+    of the set; sets equal in it are taken as equal (a false match needs a 2**-128 collision).
     """
-    words = space_words(lower_ascii(F.col(text_col)))
-    n = F.size("_w")
-    each = F.transform(F.sequence(F.lit(0), F.greatest(n - shingle, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("_w"), i + 1, shingle), " ")))
-    found = docs.select(F.col(id_col).alias("_id"), words.alias("_w")).select(
-        "_id", F.when(n == 0, F.array().cast("array<long>")).otherwise(F.array_sort(F.array_distinct(each))).alias("set")
-    )
-    size = F.size("set").cast("long")
-    node = F.when(size > 0, F.struct(F.xxhash64("set").alias("h"), F.hash("set").alias("g"), size.alias("n")))
-    return found.select(F.col("_id").alias(id_col), size.alias("n_shingles"), "set", node.alias("node"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(_sets(batch.column(1), shingle))
+            sizes, nodes = pa.array(map(len, found), pa.int64()), pa.array(map(_digest, found), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, _lists(found), nodes], names=[id_col, "n_shingles", "set", "node"])
+
+    out = StructType([docs.schema[id_col]]).add("n_shingles", LongType()).add("set", ArrayType(LongType())).add("node", BinaryType())
+    return docs.select(id_col, text_col).mapInArrow(make, out)
+
+
+def sketches(
+    docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id, text_hash, n_shingles, node, keys) per row: as ``shingle_sets``, with the set's band keys in its place."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, nodes, keys = [], [], []
+            for found in _sets(batch.column(2), shingle):
+                sizes.append(len(found))
+                nodes.append(_digest(found))
+                keys.append(_band_keys(found, bands, rows) if len(found) else found)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), _lists(keys)],
+                names=[id_col, "text_hash", "n_shingles", "node", "keys"],
+            )
+
+    out = StructType([docs.schema[id_col]]).add("text_hash", LongType()).add("n_shingles", LongType()).add("node", BinaryType()).add("keys", ArrayType(LongType()))
+    return docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), text_col).mapInArrow(make, out)
+
+
+def bucketed(nodes: DataFrame) -> DataFrame:
+    """(nid, n_shingles, band, key): one row per node and band."""
+    return nodes.select("nid", "n_shingles", F.posexplode("keys").alias("band", "key"))
 
 
 def signatures(nodes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(nid, band, key): one bucket key per node and band of ``rows`` circulant MinHash coordinates."""
-    low = F.col("h").bitwiseXOR(F.shiftrightunsigned("h", 32)).bitwiseAND(F.lit(_MASK))
-    spread = nodes.select("nid", F.explode("set").alias("h")).select("nid", _permute(low, _SIGMA).alias("s"))
-    mins = [F.min(_permute((F.col("s") + k).bitwiseAND(F.lit(_MASK)), _PI)).alias(f"m{k}") for k in range(bands * rows)]
-    coords = spread.groupBy("nid").agg(*mins)
-    keyed = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]).alias("key")) for b in range(bands)])
-    return coords.select("nid", F.explode(keyed).alias("b")).select("nid", "b.band", "b.key")
+    """(nid, n_shingles, band, key) of nodes that carry their ``set``: one bucket key per band of ``rows`` coordinates."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_band_keys(np.asarray(found, np.int64), bands, rows) for found in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(keys)], names=["nid", "n_shingles", "keys"])
+
+    return bucketed(nodes.select("nid", "n_shingles", "set").mapInArrow(make, "nid long, n_shingles long, keys array<long>"))
 
 
 def forest(sets: list[np.ndarray], cut: int, least_percent: int) -> tuple[list[int], list[int]]:
@@ -86,44 +162,46 @@ def forest(sets: list[np.ndarray], cut: int, least_percent: int) -> tuple[list[i
     With ``cut < len(sets)`` only pairs across ``sets[:cut]`` and ``sets[cut:]`` are candidates (two chunks), else all.
     """
     n = len(sets)
-    root = list(range(n))
-    sizes = [len(s) for s in sets]
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    pairs = ((i, j) for i in range(cut) for j in range(cut, n)) if cut < n else ((i, j) for i in range(n) for j in range(i + 1, n))
+    label = np.arange(n)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
     starts, ends = [], []
-    for i, j in pairs:
-        a, b = find(i), find(j)
-        if a == b or 100 * min(sizes[i], sizes[j]) < least_percent * max(sizes[i], sizes[j]):
-            continue
-        common = np.intersect1d(sets[i], sets[j], assume_unique=True).size
-        if 100 * common >= least_percent * (sizes[i] + sizes[j] - common):
-            root[max(a, b)] = min(a, b)
-            starts.append(i)
-            ends.append(j)
+    for i in range(cut):
+        others = np.arange(cut if cut < n else i + 1, n)
+        fits = 100 * np.minimum(sizes[i], sizes[others]) >= least_percent * np.maximum(sizes[i], sizes[others])
+        for j in others[fits & (label[others] != label[i])].tolist():
+            if label[j] == label[i]:
+                continue
+            common = np.intersect1d(sets[i], sets[j], assume_unique=True).size
+            if 100 * common >= least_percent * (sizes[i] + sizes[j] - common):
+                label[label == label[j]] = label[i]
+                starts.append(i)
+                ends.append(j)
     return starts, ends
 
 
-def links(nodes: DataFrame, buckets: DataFrame, least_percent: int = LEAST_PERCENT, chunk: int = CHUNK_SHINGLES) -> DataFrame:
-    """(a, b) pairs of ``nid``: a spanning forest of the links of at least ``least_percent`` Jaccard among bucket mates."""
-    members = buckets.join(nodes.select("nid", "n_shingles"), "nid")
-    stats = members.groupBy("band", "key").agg(
+def shared(buckets: DataFrame) -> DataFrame:
+    """(band, key, n, total, nid): the members of every bucket of at least two; buckets with the same members only once."""
+    stats = buckets.groupBy("band", "key").agg(
         F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.sum(F.xxhash64("nid").bitwiseAND(F.lit(_MASK))).alias("mh"), F.bit_xor(F.xxhash64("nid")).alias("mx")
     ).where("n > 1")
-    # buckets with the same members are checked once
     chosen = stats.groupBy("n", "mh", "mx").agg(F.min(F.struct("band", "key", "total")).alias("c")).select("c.band", "c.key", "c.total", "n")
+    return buckets.select("band", "key", "nid").join(chosen, ["band", "key"])
+
+
+def links(nodes: DataFrame, buckets: DataFrame, least_percent: int = LEAST_PERCENT, chunk: int = CHUNK_SHINGLES) -> DataFrame:
+    """(a, b) pairs of ``nid``: a spanning forest of the links of at least ``least_percent`` Jaccard among bucket mates."""
+    return verified(shared(buckets), nodes.select("nid", "set"), least_percent, chunk)
+
+
+def verified(members: DataFrame, sets: DataFrame, least_percent: int = LEAST_PERCENT, chunk: int = CHUNK_SHINGLES) -> DataFrame:
+    """As ``links``, for the ``members`` of ``shared`` buckets and the (nid, set) of these members."""
     parts = F.least(F.col("n"), F.greatest(F.ceil(F.col("total") / chunk), F.lit(1))).cast("int")
     own = F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
     dealt = (
-        members.join(chosen, ["band", "key"]).withColumn("parts", parts).withColumn("own", own)
+        members.withColumn("parts", parts).withColumn("own", own)
         .select("band", "key", "nid", "own", F.explode(pairs).alias("p"))
-        .join(nodes.select("nid", "set"), "nid")
+        .join(sets, "nid")
     )
     sides = dealt.groupBy("band", "key", "p").agg(
         F.collect_list(F.when(F.col("own") == F.col("p.i"), F.struct("nid", "set"))).alias("left"),
@@ -156,14 +234,19 @@ def near_duplicates(
     a null-id row is kept exactly when it links with no id. Very long texts are whole sets; the cost of one is linear
     in its shingles. Other columns are ignored; an empty table gives an empty table.
     """
-    rows_ = stage(shingle_sets(docs.select(id_col, text_col), shingle, id_col, text_col).dropDuplicates([id_col, "node"]), "minhash_sets")
+    rows_ = stage(sketches(docs, shingle, bands, rows, id_col, text_col).dropDuplicates([id_col, "node"]), "minhash_rows")
     grouped = rows_.where(F.col("node").isNotNull()).groupBy("node").agg(
-        F.min(id_col).alias("least"), F.any_value("set").alias("set"), F.any_value("n_shingles").alias("n_shingles")
+        F.min(id_col).alias("least"), F.min(F.struct(id_col, "text_hash")).alias("shown"), F.any_value("keys").alias("keys"), F.any_value("n_shingles").alias("n_shingles")
     )
     # numbered once as they are written; every later step works on the number
     nodes = stage(grouped.withColumn("nid", F.monotonically_increasing_id()), "minhash_nodes")
-    buckets = stage(signatures(nodes, bands, rows), "minhash_buckets")
-    found = stage(links(nodes, buckets, least_percent), "minhash_links")
+    members = stage(shared(bucketed(nodes)), "minhash_members")
+    # one text of every node with bucket mates; its set is made from it
+    shown = nodes.join(members.select("nid"), "nid", "left_semi").select("nid", F.col(f"shown.{id_col}").alias("_id"), F.col("shown.text_hash").alias("_hash"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
+    texts = docs.select(id_col, text_col).join(shown, same).select("nid", text_col)
+    sets = shingle_sets(texts, shingle, "nid", text_col).dropDuplicates(["nid"]).select("nid", "set")
+    found = stage(verified(members, stage(sets, "minhash_sets"), least_percent), "minhash_links")
     if found.isEmpty():
         classes = nodes.select("node", F.col("least").alias("component_id"))
     else:

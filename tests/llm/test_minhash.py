@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,21 @@ def test_crowded_buckets_cut_into_chunks(spark, chunk):
     assert len({find(i) for i in range(40)}) == 1
     if chunk > 1:
         assert len(found) < 40 * 39 / 2  # forests, not all pairs
+
+
+def test_only_sets_of_bucket_mates_are_written(spark, monkeypatch):
+    written = {}
+    kept = minhash.stage
+    monkeypatch.setattr(minhash, "stage", lambda df, name: written.setdefault(name, kept(df, name)))
+    rows = [(i, " ".join(f"a{i}_{j}" for j in range(60))) for i in range(30)]
+    near = rows[3][1].split()
+    rows += [(100, " ".join(near)), (101, " ".join(near[:-1])), (None, " ".join(near[:-2]))]  # a copy and two near copies
+    found = got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert found == brute(rows)
+    assert sum(df.count() for df in written.values() if "set" in df.columns) == 3
+
+
+def test_forest_connects_all_links_and_keeps_to_two_chunks():
+    sets = [np.arange(i, i + 100) for i in (0, 5, 10, 15, 500, 505)]
+    assert sorted(zip(*minhash.forest(sets, 6, 80))) == [(0, 1), (0, 2), (1, 3), (4, 5)]
+    assert sorted(zip(*minhash.forest(sets, 2, 80))) == [(0, 2), (1, 2), (1, 3)]
