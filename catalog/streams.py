@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from catalog import inputs as src
 from catalog.oracle_tables import over
-from rookery.session import stage, work_path
+from rookery.session import work_path
 from rookery.sources import sinks
 from rookery.streaming import refresh_stream
 
 
 def _streamed(spark, folder, late_first=False):
     landing, games, statistics, checkpoint = (work_path(spark, n) for n in ("landing", "games", "statistics", "stream"))
-    raw = stage(src.raw(spark, folder), "raw_games")
+    raw = src.raw(spark, folder)  # each load makes the texts of its own rows only
     early = F.unix_seconds("uploaded_at") < src.BATCH_SPLIT
     loads = (raw.filter(early), raw.filter(~early))
     for load in reversed(loads) if late_first else loads:

@@ -72,6 +72,7 @@ def merge_upsert(
     schema: T.StructType | None = None,
     cluster_by: list[str] | None = None,
     newest: str | None = None,
+    staged: bool = False,
 ) -> None:
     """Merge ``source`` into the Parquet table at ``path``.
 
@@ -79,12 +80,14 @@ def merge_upsert(
     change a row are rewritten; they are found in one pass over the stored keys. With ``newest``,
     a stored row changes only for a source row that is later in that column. The result is
     staged in the shared folder first and then written over the old files, so the second step
-    can be repeated if it is lost half-way.
+    can be repeated if it is lost half-way. ``staged`` says that ``source`` is a plain selection from
+    a table that is staged already, so that it need not be written again.
 
     Rows are ranged over partition and cluster columns before they are written: a partition is
     written by few tasks, not by every task of the join, and a heavy one by several.
     """
-    source = stage(source, "merge_source")
+    if not staged:
+        source = stage(source, "merge_source")
     require_unique(source, keys)
     order = [partition, *(cluster_by or keys)] if partition else []
     if not table_exists(spark, path):

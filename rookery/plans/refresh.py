@@ -51,11 +51,12 @@ def refresh_fct_games(spark: SparkSession, raw: DataFrame, path: str, users: Dat
     merge_games(spark, warehouse.int_player_games(fresh), path, users)
 
 
-def merge_games(spark: SparkSession, player_games: DataFrame, path: str, users: DataFrame | None = None) -> None:
-    """Of several uploads of a game the latest counts, in whatever order they arrive."""
+def merge_games(spark: SparkSession, player_games: DataFrame, path: str, users: DataFrame | None = None, staged: bool = False) -> None:
+    """Of several uploads of a game the latest counts, in whatever order they arrive; ``staged`` as in ``merge_upsert``."""
     rows = by_month(warehouse.fct_games(player_games, users), "game_date").withColumn(VALUES_AT, F.col("loaded_at"))
     merge.merge_upsert(
-        spark, path, rows, ["player_game_key"], [*GAME_UPDATES, VALUES_AT], MONTH_COLUMN, cluster_by=["my_username", "time_class"], newest=VALUES_AT
+        spark, path, rows, ["player_game_key"], [*GAME_UPDATES, VALUES_AT], MONTH_COLUMN, cluster_by=["my_username", "time_class"],
+        newest=VALUES_AT, staged=staged,
     )
 
 

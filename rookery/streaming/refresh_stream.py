@@ -25,7 +25,7 @@ def landing_stream(spark: SparkSession, path: str, files_per_batch: int | None =
 def refresh_batch(spark: SparkSession, batch: DataFrame, games_path: str, statistics_path: str) -> None:
     """Merge one batch of landed rows into the games, then repair the statistics they touch."""
     changed = stage(warehouse.int_player_games(batch), "changed")
-    refresh.merge_games(spark, changed, games_path)
+    refresh.merge_games(spark, changed, games_path, staged=True)
     games = spark.read.parquet(games_path)
     refresh.refresh_user_statistics(spark, games, statistics_path, "repair", changed)
 

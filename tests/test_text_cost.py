@@ -128,3 +128,24 @@ def test_complete_rows_read_no_clocks_and_equal_the_old_test(spark, small):
     old = clean.filter(parsed_games.rows.all_not_null(others)).na.drop("any", subset=parsed_games.TIME_COLUMNS)
     new = parsed_games.drop_any_null(clean)
     assert old.count() == new.count() > 0 and old.exceptAll(new).isEmpty()
+
+
+def test_loads_make_only_their_own_texts(spark, small):
+    raw = inputs.raw(spark, small)
+    early = F.unix_seconds("uploaded_at") < inputs.BATCH_SPLIT
+    text = plan(raw.filter(early))
+    below = text[text.index("transform(sequence(") :]
+    assert "transform(sequence(" not in below[1:] and "Filter" not in text.split("transform(sequence(")[0]
+    assert "Filter" in below and str(inputs.BATCH_SPLIT) in below
+    assert raw.filter(early).count() + raw.filter(~early).count() == raw.count()
+
+
+def test_a_staged_batch_is_not_staged_again(spark, small, monkeypatch):
+    from rookery.operators import merge
+
+    names = []
+    kept = merge.stage
+    monkeypatch.setattr(merge, "stage", lambda df, name, *more: (names.append(name), kept(df, name, *more))[1])
+    found = catalog.queries()["stream_user_statistics"](spark, small)
+    assert found.count() > 0
+    assert names.count("merge_source") == 2 and names.count("placed") == 2  # the statistics of two loads only
