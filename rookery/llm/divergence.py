@@ -16,7 +16,8 @@ Method (minimal-perfect-hash recount):
 
 Scoring, all in exact integers (decimal(38,0) where a product could pass a long):
 ``p = 1 + floor(1e9 * (count + 2) / (N + 2V))`` and ``f = floor((p - q)^2 / (p + q))``. The ``pair`` part adds f over
-all V terms for each ordered pair of sources of a language; terms absent from both sources are counted, not listed.
+all V terms for each ordered pair of sources of a language. Only terms found in both sources are listed; those of one
+alone are all terms of that one, tallied by count, less the ones both have, and those absent from both are counted.
 The ``term`` part lists, per group, the kept terms with count > 0 whose p is above the language's, best ten.
 
 Defined edge cases: null text, lang and source read as ''; each row is a document, so repeated rows count twice; a
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rookery.llm.common import ship, token_table, tokens
+from rookery.llm.common import ship, token_table, tokens, union_all
 from rookery.session import stage
 
 ship(__name__)
@@ -50,6 +51,8 @@ _COUNTED = "lang string, source string, term string, cnt long, n_docs long"
 _TABLE = token_table(NON_TERMS)
 _FIRST_SEARCH, _SEARCH = 32, 4096
 _MAX_D = 1 << 24
+# about what a kept term takes in a broadcast of the lookup table beside its own bytes, and the most such a table may take
+_LOOKUP_ROW, _LOOKUP_BYTES = 100, 32 << 20
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +177,8 @@ def audit(docs: DataFrame, min_docs: int = 10, shard_keys: int = 4096, top: int
     )
     kept = stage(kept, "divergence_kept")
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"))
-    langs = langs.withColumn("n_shards", F.floor(F.col("v") / shard_keys).cast("long") + 1)
-    keyed = _hashes(kept.join(F.broadcast(langs), "lang")).withColumn("shard", F.pmod("_hh", F.col("n_shards")))
+    langs = stage(langs.withColumn("n_shards", F.floor(F.col("v") / shard_keys).cast("long") + 1), "divergence_langs")
+    keyed = _hashes(kept.join(langs, "lang")).withColumn("shard", F.pmod("_hh", F.col("n_shards")))
     placed = keyed.groupBy("lang", "shard").applyInPandas(_place, _PLACED)
     placed = stage(placed, "divergence_placed")
     sizes = placed.groupBy("lang", "shard").agg(F.count("*").alias("m"))
@@ -191,9 +194,13 @@ def audit(docs: DataFrame, min_docs: int = 10, shard_keys: int = 4096, top: int
         F.map_from_entries(F.collect_list(F.struct("slot", "term"))).alias("stored"),
     )
     buckets = stage(buckets, "divergence_buckets")
+    # Spark sizes a staged table by its compressed files; this one is many times that when broadcast
+    size = kept.agg(F.sum(F.octet_length("term") + _LOOKUP_ROW)).first()[0] or 0
+    if size > _LOOKUP_BYTES:
+        buckets = buckets.hint("merge")
 
     # recount through the perfect hashes, verified against the stored keys
-    probe = _hashes(counts.drop("n_docs").join(F.broadcast(langs.select("lang", "n_shards")), "lang"))
+    probe = _hashes(counts.drop("n_docs").join(langs.select("lang", "n_shards"), "lang"))
     probe = probe.withColumn("shard", F.pmod("_hh", F.col("n_shards"))).join(sizes.select("lang", "shard", "n_buckets"), ["lang", "shard"])
     probe = probe.withColumn("bucket", F.pmod("_hb", F.col("n_buckets"))).join(buckets, ["lang", "shard", "bucket"])
     mixed = F.col("_hs").bitwiseXOR(F.col("_hd") * F.col("d"))
@@ -204,9 +211,13 @@ def audit(docs: DataFrame, min_docs: int = 10, shard_keys: int = 4096, top: int
     )
     dense = stage(dense, "divergence_dense")
 
-    totals = dense.groupBy("lang", "source").agg(F.sum("cnt").alias("n"))
-    group_n = groups.join(totals, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"))
-    group_n = stage(group_n.join(langs.select("lang", "v"), "lang", "left").withColumn("v", F.coalesce("v", F.lit(0))), "divergence_groups")
+    # how many terms a source has with each count; n and k are its occurrences and terms, p0 its p of a term it lacks
+    tally = stage(dense.groupBy("lang", "source", "cnt").agg(F.count("*").alias("m")), "divergence_tally")
+    totals = tally.groupBy("lang", "source").agg(F.sum(F.col("cnt") * F.col("m")).alias("n"), F.sum("m").alias("k"))
+    group_n = groups.join(totals, ["lang", "source"], "left").join(langs.select("lang", "v"), "lang", "left")
+    group_n = group_n.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "k", "v")])
+    group_n = group_n.withColumn("p0", F.when(F.col("v") > 0, _p(F.lit(0), F.col("n"), F.col("v"))))
+    group_n = stage(group_n, "divergence_groups")
     lang_n = group_n.groupBy("lang").agg(F.sum("n").alias("ln"), F.max("v").alias("v"))
 
     # one row per slot: p of every source that has the term, computed once, and the count of the language
@@ -214,7 +225,7 @@ def audit(docs: DataFrame, min_docs: int = 10, shard_keys: int = 4096, top: int
         dense.join(group_n, ["lang", "source"])
         .withColumn("p", _p(F.col("cnt"), F.col("n"), F.col("v")))
         .groupBy("lang", "gslot", "term")
-        .agg(F.sum("cnt").alias("lcnt"), F.collect_list(F.struct("source", "p")).alias("found"))
+        .agg(F.sum("cnt").alias("lcnt"), F.collect_list(F.struct("source", "p", "p0")).alias("found"))
     )
     slots = stage(slots, "divergence_slots")
 
@@ -233,36 +244,41 @@ def audit(docs: DataFrame, min_docs: int = 10, shard_keys: int = 4096, top: int
         .select("lang", "source", F.lit("term").alias("part"), "item", "value", F.col("rank").cast("int"))
     )
 
-    # part pair: terms that source a has, summed per pair before any shuffle; f is symmetric, so the terms that only b
-    # has are those of the pair (b, a) that a lacks; then the terms absent from both at once
-    a = group_n.select("lang", F.col("source").alias("a"), F.col("n").alias("na"), "v")
-    b = group_n.select("lang", F.col("source").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, "lang").where(F.col("a") != F.col("b"))
-    without = pairs.where(F.col("v") > 0).select("lang", "a", "b", _p(F.lit(0), F.col("nb"), F.col("v")).alias("p0"))
-    pb = F.try_element_at("ps", F.col("b"))
-    one_sided = (
-        slots.select("lang", F.map_from_entries("found").alias("ps"), F.explode("found").alias("e"))
-        .select("lang", F.col("e.source").alias("a"), F.col("e.p").alias("pa"), "ps")
-        .join(without, ["lang", "a"])
-        .select("lang", "a", "b", pb.isNull().alias("lacks"), _f(F.col("pa"), F.coalesce(pb, F.col("p0"))).alias("f"))
+    # part pair: terms that both have come from one slot each, so nothing is joined to the exploded slots, and are summed
+    # per pair before any shuffle
+    x, y = F.col("x"), F.col("y")
+    both = (
+        slots.select("lang", "found", F.explode("found").alias("x"))
+        .select("lang", "x", F.explode("found").alias("y"))
+        .where(x["source"] != y["source"])
+        .select("lang", x["source"].alias("a"), y["source"].alias("b"), _f(x["p"], y["p"]).alias("f"), _f(x["p"], y["p0"]).alias("f0"))
         .groupBy("lang", "a", "b")
-        .agg(
-            F.sum("f").alias("f_a"), F.count("*").alias("u_a"),
-            F.coalesce(F.sum(F.when(F.col("lacks"), F.col("f"))), F.lit(0)).alias("f_only"), F.count_if("lacks").alias("u_only"),
-        )
+        .agg(F.sum("f").alias("f"), F.sum("f0").alias("f0"), F.count("*").alias("u"))
+    )
+    both = stage(both, "divergence_pairs")
+    # terms that a has and b lacks: all terms of a against b's p0, less those that b has; f is symmetric, so the terms
+    # that only b has are those of the pair (b, a)
+    b_side = group_n.select("lang", F.col("source").alias("b"), F.col("k").alias("kb"), F.col("p0").alias("p0b"))
+    tallied = tally.join(group_n.drop("k", "p0"), ["lang", "source"]).select(
+        "lang", F.col("source").alias("a"), "m", _p(F.col("cnt"), F.col("n"), F.col("v")).alias("pa")
     )
-    one_sided = stage(one_sided, "divergence_pairs")
-    other = one_sided.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "f_only", "u_only")
-    present = one_sided.drop("f_only", "u_only").join(other, ["lang", "a", "b"], "full").select(
-        "lang", "a", "b",
-        (F.coalesce("f_a", F.lit(0)) + F.coalesce("f_only", F.lit(0))).alias("fs"),
-        (F.coalesce("u_a", F.lit(0)) + F.coalesce("u_only", F.lit(0))).alias("u"),
+    one_sided = (
+        tallied.join(b_side, "lang")
+        .where(F.col("a") != F.col("b"))
+        .groupBy("lang", "a", "b")
+        .agg(F.sum(F.col("m") * _f(F.col("pa"), F.col("p0b"))).alias("f"))
+        .unionByName(both.select("lang", "a", "b", (-F.col("f0")).alias("f")))
+        .withColumn("u", F.lit(0).cast("long"))
     )
-    absent = _f(_p(F.lit(0), F.col("na"), F.col("v")), _p(F.lit(0), F.col("nb"), F.col("v")))
+    other = one_sided.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "f", "u")
+    present = union_all([both.drop("f0"), one_sided, other]).groupBy("lang", "a", "b").agg(F.sum("f").alias("fs"), F.sum("u").alias("u"))
+    a_side = group_n.select("lang", F.col("source").alias("a"), F.col("k").alias("ka"), F.col("p0").alias("p0a"), "v")
+    pairs = a_side.join(b_side, "lang").where(F.col("a") != F.col("b"))
+    absent = F.col("v") - F.col("ka") - F.col("kb") + F.coalesce("u", F.lit(0))
     pv = pairs.join(present, ["lang", "a", "b"], "left").withColumn(
         "value",
         F.when(F.col("v") == 0, F.lit(0).cast("long")).otherwise(
-            F.coalesce("fs", F.lit(0)) + (F.col("v") - F.coalesce("u", F.lit(0))) * absent
+            F.coalesce("fs", F.lit(0)) + absent * _f(F.col("p0a"), F.col("p0b"))
         ),
     )
     pw = Window.partitionBy("lang", "a").orderBy(F.col("value").desc(), F.encode("b", "UTF-8").asc())

@@ -116,6 +116,44 @@ def test_texts_are_read_once(spark, tmp_path, monkeypatch):
     assert sum(len(re.findall(r"FileScan parquet \[[^\]]*\btext#", p)) for p in plans) == 1
 
 
+def plans_of(monkeypatch):
+    """The physical plan of every staged table, by name."""
+    plans = {}
+    kept = divergence.stage
+
+    def staged(df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return kept(df, name)
+
+    monkeypatch.setattr(divergence, "stage", staged)
+    return plans
+
+
+def test_exploded_slots_are_joined_with_nothing(spark, monkeypatch):
+    plans = plans_of(monkeypatch)
+    rows = [(" ".join(f"w{(i * k) % 23} own{i % 5}" for k in range(6)), ["en", "de"][i % 2], f"s{i % 5}") for i in range(80)]
+    assert run(spark, rows, min_docs=3) == brute(rows, min_docs=3)
+    assert plans["divergence_pairs"].count("Generate explode") == 2 and "Join" not in plans["divergence_pairs"]
+
+
+def test_large_lookup_table_is_not_broadcast(spark, monkeypatch):
+    rows = [(f"w{i} w{i + 1} common", "en", f"s{i % 2}") for i in range(40)] * 2
+    shapes = []
+    for most in (divergence._LOOKUP_BYTES, 0):
+        monkeypatch.setattr(divergence, "_LOOKUP_BYTES", most)
+        plans = plans_of(monkeypatch)
+        assert run(spark, rows, min_docs=2) == brute(rows, min_docs=2)
+        shapes.append([plans["divergence_dense"].count(j) for j in ("BroadcastHashJoin", "SortMergeJoin")])
+    assert shapes == [[3, 0], [2, 1]]
+
+
+def test_sources_without_common_terms(spark):
+    rows = [(f"{word} {word} shared" if i % 3 else word, "en", source) for source, word in (("a", "one"), ("b", "two"), ("c", "three")) for i in range(6)]
+    rows += [("!!", "en", "d"), (None, "en", "e"), ("rare", "en", "f")]
+    assert run(spark, rows, min_docs=4) == brute(rows, min_docs=4)
+    assert run(spark, rows, min_docs=6) == brute(rows, min_docs=6)
+
+
 def test_tokens_of_sliced_columns():
     texts = pa.array(["left out", "Ab  cD", None, "", "  ", "é\x00x", "end", "next"]).slice(1)
     for limit in (1, 5, 1 << 20):
